@@ -42,7 +42,8 @@ class CommunityConfig:
     resolution: float = 1.0
     seed: int = 42
     use_weights: bool = True
-    max_rounds: int = 24
+    max_rounds: int = 12
+    min_gain: float = 1e-4
     max_levels: int = 12
 
     def __post_init__(self):

@@ -25,6 +25,9 @@ from vector_atlas.operators.neighbours import knn_join
 from vector_atlas.operators.vectors import l2_normalize, validate_vectors
 from vector_atlas.session import materialise
 
+START_SPAN = 10.0  # largest start coordinate
+MAX_STEP = 4.0
+
 
 def principal_coords(vectors: DataFrame) -> DataFrame:
     """``item_id, x, y``: first two principal components of the unit vectors.
@@ -100,7 +103,7 @@ def layout_2d(
         neighbours = knn_join(vectors, config.n_neighbors, **limits)
     start = materialise(dense_index(principal_coords(vectors), seed=config.seed), "layout-start")
     scale = start.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
-    coords = start.select("idx", (F.col("x") * 10.0 / scale).alias("x"), (F.col("y") * 10.0 / scale).alias("y"))
+    coords = start.select("idx", (F.col("x") * START_SPAN / scale).alias("x"), (F.col("y") * START_SPAN / scale).alias("y"))
     numbers = start.select("item_id", "idx")
     pairs = (
         fuzzy_graph(neighbours)
@@ -117,8 +120,8 @@ def layout_2d(
 
 
 def _turn(coords, graph, n, turn, rate, a, b, config) -> DataFrame:
-    """One batch step. Each node takes the weighted mean pull of its neighbours and a push from
-    a few hashed other nodes; steps are clipped."""
+    """One batch step: the weighted mean pull of the neighbours plus the mean push of a few
+    hashed other nodes, both clipped."""
     other = coords.select(F.col("idx").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
     mine = coords.select(F.col("idx").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
     slots = F.explode(F.sequence(F.lit(0), F.lit(config.negatives - 1)))
@@ -130,18 +133,27 @@ def _turn(coords, graph, n, turn, rate, a, b, config) -> DataFrame:
     links = graph.unionByName(negative).join(other, "j").join(mine, "i")
     dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
     d2 = F.greatest(dx * dx + dy * dy, F.lit(1e-6))
-    pull = F.lit(2 * a * b) * F.pow(d2, b - 1) / (1 + F.lit(a) * F.pow(d2, b)) * F.col("weight")
-    push = F.lit(2 * b) / ((F.lit(0.01) + d2) * (1 + F.lit(a) * F.pow(d2, b))) * F.col("weight")
-    force = F.when(F.col("weight") > 0, pull).otherwise(push)
-    steps = links.select("i", "weight", (force * dx).alias("fx"), (force * dy).alias("fy")).groupBy("i").agg(
-        F.sum("fx").alias("fx"), F.sum("fy").alias("fy"),
-    )
+    attracts = F.col("weight") > 0
+    curve = 1 + F.lit(a) * F.pow(d2, b)
+    pull = F.least(F.lit(2 * a * b) * F.pow(d2, b - 1) / curve, F.lit(1.0)) * F.col("weight")
+    push = F.lit(2 * b) / ((F.lit(0.01) + d2) * curve)
 
     def clipped(c):
-        return F.least(F.greatest(F.col(c), F.lit(-4.0)), F.lit(4.0))
+        return F.least(F.greatest(c, F.lit(-MAX_STEP)), F.lit(MAX_STEP))
+
+    def part(d):
+        return F.when(attracts, pull * d), F.when(~attracts, clipped(push * d) * F.col("weight"))
 
-    return coords.join(steps, coords["idx"] == steps["i"], "left").select(
-        "idx",
-        (F.col("x") + F.coalesce(clipped("fx"), F.lit(0.0)) * rate).alias("x"),
-        (F.col("y") + F.coalesce(clipped("fy"), F.lit(0.0)) * rate).alias("y"),
+    (ax, rx), (ay, ry) = part(dx), part(dy)
+    steps = links.select(
+        "i", ax.alias("ax"), ay.alias("ay"), rx.alias("rx"), ry.alias("ry"), F.when(attracts, F.col("weight")).alias("w")
+    ).groupBy("i").agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("ax", "ay", "rx", "ry")],
+        F.sum("w").alias("w"),
     )
+
+    def moved(c):
+        step = F.coalesce(F.col(f"a{c}") / F.col("w"), F.lit(0.0)) + F.coalesce(f"r{c}", F.lit(0.0))
+        return (F.col(c) + clipped(step) * F.lit(rate)).alias(c)
+
+    return coords.join(steps, coords["idx"] == steps["i"], "left").select("idx", moved("x"), moved("y"))

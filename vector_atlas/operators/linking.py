@@ -114,11 +114,26 @@ def best_match(queries: DataFrame, candidates: DataFrame, key: str = "song_id",
     return pick_best(compare_names(pairs, weights), key, **options)
 
 
+def match_names(asked: DataFrame, candidates: DataFrame, **options) -> DataFrame:
+    """Best candidate per distinct ``(artist, title)`` of ``asked(search_key, artist, title)``.
+
+    ``candidates(search_key, position, candidate)`` holds the search results of each key. Equal
+    names are compared once, whatever the number of rows that carry them.
+    """
+    names = asked.select("search_key", "artist", "title").distinct().withColumn("name_key", name_key())
+    found = names.select("name_key", "search_key").join(candidates, "search_key").drop("search_key")
+    return best_match(names.select("name_key", "artist", "title"), found, key="name_key", **options)
+
+
+def name_key():
+    return F.concat_ws("\u0001", "artist", "title")
+
+
 def match_rows(queries: DataFrame, best: DataFrame) -> DataFrame:
     """Rows in the stored layout; a miss carries only its id and ``matched = false``."""
     c = "candidate"
     hit = best.select(
-        "song_id",
+        "name_key",
         F.lit(True).alias("matched"),
         F.col(f"{c}.id").alias("deezer_id"),
         F.col(f"{c}.artist.name").alias("deezer_artist"),
@@ -128,7 +143,7 @@ def match_rows(queries: DataFrame, best: DataFrame) -> DataFrame:
         *[F.col(f"{c}.artist.picture_{s}").alias(f"artist_picture_{s}") for s in ("small", "medium", "big", "xl")],
         *[F.round(n, 2).alias(n) for n in ("score", "artist_score", "title_score")],
     )
-    rows = queries.select("song_id").join(hit, "song_id", "left")
+    rows = queries.select("song_id", name_key().alias("name_key")).join(hit, "name_key", "left")
     return rows.withColumn("matched", F.coalesce("matched", F.lit(False))).select(*MATCHES_SCHEMA.fieldNames())
 
 
@@ -138,15 +153,17 @@ def match_catalogue(
     existing: DataFrame | None = None,
     force: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Link pending tracks to ``candidates(song_id, position, candidate)``.
+    """Link pending tracks to ``candidates(search_key, position, candidate)``.
 
     Returns ``(all match rows, skipped)``; skipped rows carry a reason and are not stored,
     so a later run tries them again.
     """
     existing = None if force else existing
-    queries = tracks.select("song_id", strip(clean_text("artist")).alias("artist"), strip(clean_text("title")).alias("title"))
+    queries = tracks.select(
+        "song_id", strip(clean_text("artist")).alias("artist"), strip(clean_text("title")).alias("title")
+    )
     keyed = catalogue_search_key(pending_ids(queries, existing))
     skipped = keyed.where(F.col("reason").isNotNull()).select("song_id", "reason")
     asked = keyed.where(F.col("reason").isNull())
-    fresh = match_rows(asked, best_match(asked, candidates))
+    fresh = match_rows(asked, match_names(asked, candidates))
     return upsert_keep_last(existing, fresh), skipped

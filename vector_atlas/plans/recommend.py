@@ -17,7 +17,7 @@ from vector_atlas.functions.cells import clean_number, clean_text, seed_label
 from vector_atlas.functions.tags import split_tags
 from vector_atlas.operators.cleaning import resolve_audio_path
 from vector_atlas.operators.joins import corpus_match_exact
-from vector_atlas.operators.linking import best_match, catalogue_search_key
+from vector_atlas.operators.linking import catalogue_search_key, match_names, name_key
 from vector_atlas.operators.neighbours import retrieve_top_k
 from vector_atlas.operators.ranking import fit_floor, positioned, rank_items, retrieve_pool
 from vector_atlas.operators.vectors import prepare_query
@@ -85,17 +85,14 @@ def resolve_seeds(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
         "reason",
         F.when((F.col("artist") == "") | (F.col("title") == ""), "missing artist/title").otherwise(F.col("reason")),
     )
-    names = keyed.where(F.col("reason").isNull()).select("search_key", "artist", "title").distinct()
-    names = names.withColumn("name_key", F.concat_ws("\u0001", "artist", "title"))
-    by_name = names.select("name_key", "search_key").join(candidates, "search_key").drop("search_key")
-    best = best_match(names.select("name_key", "artist", "title"), by_name, key="name_key").select(
+    best = match_names(keyed.where(F.col("reason").isNull()), candidates).select(
         "name_key",
         F.col("candidate.id").alias("catalogue_id"),
         F.col("cand_artist").alias("catalogue_artist"),
         F.col("cand_title").alias("catalogue_title"),
         "score",
     )
-    found = keyed.withColumn("name_key", F.concat_ws("\u0001", "artist", "title")).join(best, "name_key", "left")
+    found = keyed.withColumn("name_key", name_key()).join(best, "name_key", "left")
     usable = F.col("reason").isNull()
     hit = usable & F.col("score").isNotNull()
     for c in ("catalogue_id", "catalogue_artist", "catalogue_title", "score"):

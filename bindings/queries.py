@@ -184,7 +184,7 @@ def _(spark, d):
     "match_store",
     """select cast(p_partkey as varchar) song_id, coalesce(case when p_type <> 'SMALL' then p_size > 25 end, false) matched,
       p_partkey deezer_id, p_brand deezer_artist, p_name deezer_title, cast(p_size as bigint) rank,
-      round(p_retailprice / 100, 2) score from part""",
+      round(p_retailprice, 2) score from part""",
 )
 def _(spark, d):
     part = Tables(spark, d).part
@@ -199,7 +199,7 @@ def _(spark, d):
         F.col("p_size").alias("rank"), none.alias("duration"),
         *[none.alias(f"cover_{s}") for s in ("small", "medium", "big", "xl")],
         *[none.alias(f"artist_picture_{s}") for s in ("small", "medium", "big", "xl")],
-        (F.col("p_retailprice") / 100).alias("score"), none.alias("artist_score"), none.alias("title_score"),
+        F.col("p_retailprice").alias("score"), none.alias("artist_score"), none.alias("title_score"),
     )
     path = stores.write_matches(rows, scratch_path(spark, "matches"))
     return stores.read_matches(spark, path).select(
@@ -608,7 +608,7 @@ def _(spark, d):
 @bind(
     "upsert_keep_last",
     """, last as (select o_custkey k, max_by(o_orderkey, (o_orderdate, o_orderkey)) o from orders group by 1)
-    select c_custkey k, c_name, o from customer left join last on k = c_custkey where o is null
+    select c_custkey k, c_name, -1 o from customer left join last on k = c_custkey where o is null
     union all select k, null, o from last""",
     using="items",
 )
@@ -616,7 +616,7 @@ def _(spark, d):
     t = Tables(spark, d)
     old = t.customer.select(F.col("c_custkey").alias("k"), "c_name")
     new = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.struct("o_orderdate", "o_orderkey").alias("at"))
-    return joins.upsert_keep_last(old, new, "k", order="at").select("k", "c_name", "o")
+    return joins.upsert_keep_last(old, new, "k", order="at").na.fill(-1, ["o"]).select("k", "c_name", "o")
 
 
 @bind("select_ids", "select song_id, title from tracks where song_id in (select item_id from history)", using="tracks history")
@@ -690,8 +690,8 @@ def _(spark, d):
     return linking.pick_best(linking.score_candidate(rows), "song_id").select("song_id", "position", "score")
 
 
-_MATCHED = """select t.song_id, b.id is not null matched, b.id deezer_id, b.artist deezer_artist, b.cand_title deezer_title,
-  cast(b.rank as bigint) rank, case when b.id is not null then 100.0 end score
+_MATCHED = """select t.song_id, b.id is not null matched, coalesce(b.id, -1) deezer_id, b.artist deezer_artist, b.cand_title deezer_title,
+  coalesce(cast(b.rank as bigint), -1) rank, case when b.id is not null then 100.0 end score
   from tracks t left join catalogue_best b on b.artist = t.artist and b.title = t.title where t.artist is not null"""
 
 
@@ -699,7 +699,7 @@ _MATCHED = """select t.song_id, b.id is not null matched, b.id deezer_id, b.arti
 def _(spark, d):
     t = Tables(spark, d)
     rows, _ = linking.match_catalogue(t.tracks(), t.catalogue())
-    return rows.select("song_id", "matched", "deezer_id", "deezer_artist", "deezer_title", "rank", "score")
+    return rows.na.fill(-1, ["deezer_id", "rank"]).select("song_id", "matched", "deezer_id", "deezer_artist", "deezer_title", "rank", "score")
 
 
 @bind("knn_join", "select src, dst, round(score, 6) score, rank from knn10", using="knn10")
@@ -874,8 +874,8 @@ def _(spark, d):
 
 def _seed_rows(t: Tables):
     corpus = _corpus(t, True)
-    resolved = recommend.resolve_seeds(_requests(t), t.catalogue())
-    return corpus, recommend.seed_vectors(resolved, t.catalogue_vectors(), corpus)
+    resolved = materialise(recommend.resolve_seeds(_requests(t), t.catalogue()), "resolved-seeds")
+    return corpus, materialise(recommend.seed_vectors(resolved, t.catalogue_vectors(), corpus), "seed-vectors")
 
 
 @bind("retrieve_pool", "select cast(request_id as varchar) request_id, item_id, round(score, 6) score from pool", using="pool")
@@ -1182,13 +1182,11 @@ def _(spark, d):
 
 @bind(
     "graph_quality",
-    _COMPONENTS.format(graph="graph3") + _MODULARITY.format(graph="graph3") + """, d as (select v.item_id, count(e.a) n from vectors v
-      left join (select src a from graph3 union all select dst from graph3) e on e.a = v.item_id group by 1)
-    select (select count(*) from d) n_nodes, (select count(*) from graph3) n_edges, (select round(avg(n), 6) from d) mean_degree,
+    _COMPONENTS.format(graph="mutual3") + _MODULARITY.format(graph="mutual3") + """, d as (select v.item_id, count(e.a) n from vectors v
+      left join (select src a from mutual3 union all select dst from mutual3) e on e.a = v.item_id group by 1)
+    select (select count(*) from d) n_nodes, (select count(*) from mutual3) n_edges, (select round(avg(n), 6) from d) mean_degree,
       (select count(distinct component) from components) n_components, (select round(modularity, 6) from q) modularity,
-      count(*) n_communities, max(n) largest, min(n) smallest from (select community, count(*) n from membership group by 1)""".replace(
-        "graph3", "mutual3"
-    ),
+      count(*) n_communities, max(n) largest, min(n) smallest from (select community, count(*) n from membership group by 1)""",
     using="vectors mutual3 membership",
 )
 def _(spark, d):
@@ -1379,14 +1377,14 @@ def _(spark, d):
 @bind(
     "resolve_seeds",
     """select cast(request_id as varchar) request_id, position, coalesce(artist, '') artist, coalesce(title, '') title, catalogue_id is not null resolved,
-      catalogue_id, cand_title catalogue_title, case when catalogue_id is not null then 100.0 end score,
+      coalesce(catalogue_id, -1) catalogue_id, cand_title catalogue_title, case when catalogue_id is not null then 100.0 end score,
       case when coalesce(artist, '') = '' or coalesce(title, '') = '' then 'missing artist/title' when catalogue_id is null then 'no catalogue match' end reason from resolved""",
     using="resolved",
 )
 def _(spark, d):
     t = Tables(spark, d)
     rows = recommend.resolve_seeds(_requests(t), t.catalogue())
-    return rows.select(
+    return rows.na.fill(-1, ["catalogue_id"]).select(
         "request_id", F.col("position").cast("long").alias("position"), "artist", "title", "resolved", "catalogue_id", "catalogue_title", "score", "reason"
     )
 

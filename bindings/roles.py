@@ -88,12 +88,11 @@ class Tables:
         return self.embeddings.select(F.col("label").cast("string").alias("item_id")).distinct()
 
     def _folded(self, width):
-        x = F.col("embedding")
-        bins = [
-            F.aggregate(F.filter(x, lambda v, i, b=b: i % width == b), F.lit(0.0), lambda a, v: a + F.abs(v.cast("double")))
-            for b in range(width)
-        ]
-        return F.array(*bins)
+        def one(b):
+            chosen = F.filter("embedding", lambda v, i: i % width == b)
+            return F.aggregate(chosen, F.lit(0.0), lambda a, v: a + F.abs(v.cast("double")))
+
+        return F.array(*[one(b) for b in range(width)])
 
     def frames(self):
         """Twelve-bin profiles: absolute components folded modulo 12; an item is a label."""
@@ -115,7 +114,7 @@ class Tables:
     def beats(self):
         """Beat times in days per user."""
         return self.events.select(
-            F.col("user_id").cast("string").alias("item_id"), (F.unix_micros("ts") / F.lit(86400e6)).alias("t")
+            F.col("user_id").cast("string").alias("item_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86400e6)).alias("t")
         )
 
     def beat_items(self):

@@ -10,6 +10,7 @@ from vector_atlas.functions.names import normalize_name, token_set_ratio
 from vector_atlas.functions.tags import strip
 from vector_atlas.operators.joins import pending_ids, upsert_keep_last
 from vector_atlas.schemas import MATCHES_SCHEMA
+from vector_atlas.session import materialise
 
 ARTIST_THRESHOLD = 80.0
 TITLE_THRESHOLD = 80.0
@@ -55,7 +56,8 @@ def compare_names(candidates: DataFrame, weights=(ARTIST_WEIGHT, TITLE_WEIGHT))
     """Add ``artist_score, title_score, score`` to ``(query_artist, query_title, cand_artist, cand_title)``.
 
     Names repeat far more often than candidates do, so the Python step sees each distinct
-    pair of names once; artist and title pairs share one comparison.
+    pair of names once; artist and title pairs share one comparison, which is written out
+    because both joins (and the threshold filters pushed below them) read it.
     """
     filled = candidates.withColumns(
         {c: clean_text(c) for c in ("query_artist", "query_title", "cand_artist", "cand_title")}
@@ -64,7 +66,7 @@ def compare_names(candidates: DataFrame, weights=(ARTIST_WEIGHT, TITLE_WEIGHT))
         F.struct(F.col("query_artist").alias("left_name"), F.col("cand_artist").alias("right_name")),
         F.struct(F.col("query_title").alias("left_name"), F.col("cand_title").alias("right_name")),
     )
-    ratios = name_similarity(filled.select(F.explode(both).alias("p")).select("p.*"))
+    ratios = materialise(name_similarity(filled.select(F.explode(both).alias("p")).select("p.*")), "name-ratios")
 
     def attach(df, left, right, target):
         return df.join(

@@ -21,6 +21,7 @@ from vector_atlas.operators.linking import catalogue_search_key, match_names, na
 from vector_atlas.operators.neighbours import retrieve_top_k
 from vector_atlas.operators.ranking import fit_floor, positioned, rank_items, retrieve_pool
 from vector_atlas.operators.vectors import prepare_query
+from vector_atlas.session import materialise
 
 EVIDENCE_TAGS = ("style", "mood", "theme")
 DESCRIBED_SEEDS = 5
@@ -107,6 +108,7 @@ def resolve_seeds(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
 def seed_vectors(resolved: DataFrame, vectors: DataFrame, corpus: Corpus) -> DataFrame:
     """``request_id, seed_id, embedding, corpus_id`` of resolved seeds with a usable vector.
 
+    ``resolved`` is read several times; pass a written table.
     ``vectors(catalogue_id, embedding)`` holds raw vectors of catalogue entries. They are
     prepared once per entry; absent, empty or zero-length-norm vectors drop the seed.
     """
@@ -227,8 +229,6 @@ def rerank(
     similarity decides. Rows from outside are checked. Playlists apply the fit floor.
     """
     if ranking is None and ranker is not None:
-        from vector_atlas.session import materialise
-
         ranking = materialise(apply_ranker(evidence, ranker), "ranking")
     if ranking is not None:
         ranked = rank_items(ranking, evidence)
@@ -287,8 +287,8 @@ def recommend_by_item(seeds: DataFrame, candidates: DataFrame, vectors: DataFram
 
     Fails when no request resolves or none has a vector.
     """
-    resolved = resolve_seeds(seeds, candidates)
-    embedded = seed_vectors(resolved, vectors, corpus)
+    resolved = materialise(resolve_seeds(seeds, candidates), "resolved-seeds")
+    embedded = materialise(seed_vectors(resolved, vectors, corpus), "seed-vectors")
     _require(resolved, embedded)
     queries = embedded.select(F.col("request_id").alias("query_id"), "embedding")
     exclude = embedded.where(F.col("corpus_id").isNotNull()).select(
@@ -320,10 +320,10 @@ def recommend_playlist(
     The result carries every seed with its resolved flag, and the candidate count per request.
     """
     seeds = seeds.where(F.col("position") <= config.max_seeds)
-    resolved = resolve_seeds(seeds, candidates)
-    embedded = seed_vectors(resolved, vectors, corpus)
+    resolved = materialise(resolve_seeds(seeds, candidates), "resolved-seeds")
+    embedded = materialise(seed_vectors(resolved, vectors, corpus), "seed-vectors")
     _require(resolved, embedded)
     pool = retrieve_pool(embedded, corpus.vectors, config)
-    evidence = build_evidence(pool, corpus.tracks)
+    evidence = materialise(build_evidence(pool, corpus.tracks), "evidence")
     ranked = rerank(evidence, n, playlist=config, **ranking)
     return Recommended(recommendations(ranked, corpus, min(n, config.max_seeds)), _counts(evidence), resolved)

@@ -569,7 +569,7 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = Tables(spark, d).documents.select(F.col("doc_id").cast("string").alias("item_id"), F.col("text").alias("content"))
-    rows, _, _ = vectors.embed_items(docs, EmbeddingConfig("hashing"))
+    rows, _, _ = vectors.embed_items(docs, EmbeddingConfig("hashing"), partitions=spark.sparkContext.defaultParallelism)
     return _values(rows)
 
 

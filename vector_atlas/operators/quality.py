@@ -68,11 +68,16 @@ def pairwise_cosine_exact(vectors: DataFrame) -> DataFrame:
     the Gram matrix minus sum |u|^4.
     """
     unit = _softened(vectors)
-    sums = unit.select("u", arrays.dot("u", "u").alias("s")).agg(
-        F.count("*").alias("n"),
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("u")))).alias("total"),
-        F.sum("s").alias("s1"),
-        F.sum(F.col("s") * F.col("s")).alias("s2"),
+    sums = (
+        unit.select(F.lit(0).alias("all"), "u", arrays.dot("u", "u").alias("s"))
+        .groupBy("all")
+        .agg(
+            F.count("*").alias("n"),
+            vector_to_array(Summarizer.sum(array_to_vector(F.col("u")))).alias("total"),
+            F.sum("s").alias("s1"),
+            F.sum(F.col("s") * F.col("s")).alias("s2"),
+        )
+        .agg(*[F.first(c).alias(c) for c in ("n", "total", "s1", "s2")])  # one row even without vectors
     )
     frobenius = gram_matrix(unit, "u").agg(F.sum(arrays.dot("products", "products")).alias("f"))
     pairs = F.col("n") * (F.col("n") - 1)

@@ -43,9 +43,9 @@ def validate_vectors(vectors: DataFrame, k: int) -> int:
 
 
 def mean_vector(vectors: DataFrame) -> DataFrame:
-    """One row: ``mean array<double>``; partial sums are merged on the JVM side."""
+    """One row: ``mean array<double>`` (no row without vectors); partial sums are merged on the JVM side."""
     mean = Summarizer.mean(array_to_vector(F.col("embedding")))
-    return vectors.agg(vector_to_array(mean).alias("mean"))
+    return vectors.groupBy(F.lit(0).alias("all")).agg(vector_to_array(mean).alias("mean")).drop("all")
 
 
 def center_vectors(vectors: DataFrame, mean: DataFrame, center: bool = True) -> DataFrame:
@@ -121,9 +121,10 @@ class HashingEncoder:
     def embed_text(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
-            for token in text.split():
-                index, sign = self._slot(token)
-                out[row, index] += sign
+            slots = [self._slot(token) for token in text.split()]
+            if slots:
+                index, sign = zip(*slots)
+                out[row] = np.bincount(index, weights=sign, minlength=self.dim)
         return out
 
     def embed_audio(self, audio: list[np.ndarray]) -> np.ndarray:
@@ -141,11 +142,15 @@ def encode_items(
     encoder: Callable[[], Encoder],
     kind: str = "text",
     batch_size: int = 8,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Encode ``items(item_id, content)``; a failing item yields an error row and the rest go on.
 
     The factory runs once per task. ``content`` is text, or an array of samples for audio.
+    ``partitions`` spreads the rows first, for inputs with fewer splits than there are cores.
     """
+    if partitions is not None:
+        items = items.select("item_id", "content").repartition(partitions)
     if kind not in ("text", "audio"):
         raise ValueError(f"kind must be text or audio, got {kind!r}")
 
@@ -202,6 +207,7 @@ def embed_items(
     config,
     encoder: Callable[[], Encoder] = HashingEncoder,
     kind: str = "text",
+    partitions: int | None = None,
 ):
     """Whole job: encode once, fail when nothing was encoded, centre, normalise, describe.
 
@@ -209,7 +215,7 @@ def embed_items(
     """
     from vector_atlas.session import materialise
 
-    encoded = materialise(encode_items(items, encoder, kind, config.batch_size), "encoded")
+    encoded = materialise(encode_items(items, encoder, kind, config.batch_size, partitions), "encoded")
     if encoded.where(F.col("error").isNull()).isEmpty():
         raise RuntimeError("no item could be encoded")
     vectors, mean = finish_embedding(encoded, config.center, config.normalize)

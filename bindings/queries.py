@@ -914,10 +914,13 @@ def _(spark, d):
 
 
 def _outside_ranking(evidence):
-    """Stand-in for an external ranker: fit from similarity, ranked by it."""
+    """Stand-in for an external ranker: fit from similarity, ranked by it.
+
+    Half of a four-digit similarity has five digits, so nothing is rounded at a tie.
+    """
     from pyspark.sql import Window
 
-    fit = F.round((F.col("similarity") + 1) / 2, 4)
+    fit = F.round((F.col("similarity") + 1) / 2, 5)
     order = Window.partitionBy("request_id").orderBy(F.desc("fit"), "item_id")
     return evidence.withColumn("fit", fit).select(
         "request_id", "item_id", F.row_number().over(order).alias("rank"), "fit", F.lit("near").alias("reason")
@@ -925,7 +928,7 @@ def _outside_ranking(evidence):
 
 
 _OUTSIDE = """, outside as (select request_id, item_id, fit, row_number() over (partition by request_id order by fit desc, item_id) rank
-  from (select request_id, item_id, round((similarity + 1) / 2, 4) fit from evidence))"""
+  from (select request_id, item_id, round((similarity + 1) / 2, 5) fit from evidence))"""
 
 
 def _evidence(t: Tables):

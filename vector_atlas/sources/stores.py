@@ -127,11 +127,12 @@ def metrics_document(metrics: DataFrame) -> DataFrame:
     per_section = metrics.groupBy("model", "section").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("values")
     )
+    def by_section(a, b):  # maps have no order of their own
+        return F.when(a["section"] < b["section"], -1).when(a["section"] > b["section"], 1).otherwise(0)
+
+    entries = F.array_sort(F.collect_list(F.struct("section", "values")), by_section)
     return per_section.groupBy("model").agg(
-        F.to_json(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "values")))),
-            {"ignoreNullFields": "false"},
-        ).alias("document")
+        F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("document")
     )
 
 

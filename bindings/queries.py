@@ -255,31 +255,34 @@ def _(spark, d):
     )
 
 
-def _order_lists(t: Tables):
-    """Orders as item lists: a returned line is no track, an accepted one has no stated type."""
+def _line_lists(t: Tables):
+    """Order lines as item lists of part and supplier: returned goods are no tracks, accepted
+    ones state no type, and a filled line holds nothing under ``track``."""
     kind = F.when(F.col("l_returnflag") == "R", "episode").when(F.col("l_returnflag") == "N", "track")
-    track = F.struct(
-        F.col("l_partkey").cast("string").alias("id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("name"), kind.alias("type")
-    )
-    item = F.struct(F.when(F.col("l_linestatus") == "O", track).alias("track"), F.col("l_linenumber").alias("added"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", item.alias("item"))
-    return (
-        t.lineitem.groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_list(line))["item"].alias("items"))  # the lines of one order
-        .select(F.col("l_orderkey").alias("user_id"), F.to_json(F.struct("items")).alias("items_json"))
+
+    def item(c, name):
+        track = F.struct(
+            F.col(c).cast("string").alias("id"), F.concat(F.lit(name), F.col(c).cast("string")).alias("name"), kind.alias("type")
+        )
+        return F.struct(F.when(F.col("l_linestatus") == "O", track).alias("track"), F.col("l_linenumber").alias("added"))
+
+    items = F.array(item("l_partkey", "part "), item("l_suppkey", "supplier "))
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("user_id"), "l_linenumber", "l_partkey", F.to_json(F.struct(items.alias("items"))).alias("items_json")
     )
 
 
-_ENTRIES = """, entries as (select l_orderkey user_id, l_partkey, l_returnflag, l_linestatus,
-  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 entry
-  from lineitem), usable as (select user_id, entry, cast(l_partkey as varchar) id, 'part ' || l_partkey "name"
-  from entries where l_linestatus = 'O' and l_returnflag <> 'R')"""
+_USABLE = """, usable as (
+  select l_orderkey user_id, l_linenumber, l_partkey, 0 entry, cast(l_partkey as varchar) id, 'part ' || l_partkey "name"
+    from lineitem where l_linestatus = 'O' and l_returnflag <> 'R' union all
+  select l_orderkey, l_linenumber, l_partkey, 1, cast(l_suppkey as varchar), 'supplier ' || l_suppkey
+    from lineitem where l_linestatus = 'O' and l_returnflag <> 'R')"""
 
 
-@bind("explode_catalogue_items", ", " + _ENTRIES[2:] + " select user_id, entry, id, \"name\" from usable", using="items")
+@bind("explode_catalogue_items", _USABLE + ' select user_id, l_linenumber, cast(entry as bigint) entry, id, "name" from usable', using="items")
 def _(spark, d):
-    rows = catalogue.explode_catalogue_items(_order_lists(Tables(spark, d)))
-    return rows.select("user_id", F.col("position").cast("long").alias("entry"), "id", "name")
+    rows = catalogue.explode_catalogue_items(_line_lists(Tables(spark, d)))
+    return rows.select("user_id", "l_linenumber", F.col("position").cast("long").alias("entry"), "id", "name")
 
 
 # --- B. scalars ---------------------------------------------------------------------------------
@@ -904,13 +907,14 @@ def _(spark, d):
 
 @bind(
     "playlist_seeds",
-    ", " + _ENTRIES[2:] + """ select user_id, id, position from (select user_id, id,
-      row_number() over (partition by user_id order by entry) position from usable) where position <= 3""",
+    _USABLE + """ select user_id, id, position from (select user_id, id,
+      row_number() over (partition by user_id order by l_linenumber, l_partkey, entry, id) position from usable) where position <= 3""",
     using="items",
 )
 def _(spark, d):
-    rows = catalogue.explode_catalogue_items(_order_lists(Tables(spark, d)))
-    return ranking.playlist_seeds(rows, 3).select("user_id", "id", F.col("position").cast("long").alias("position"))
+    rows = catalogue.explode_catalogue_items(_line_lists(Tables(spark, d)))
+    placed = rows.withColumn("position", F.struct("l_linenumber", "l_partkey", "position", "id"))
+    return ranking.playlist_seeds(placed, 3).select("user_id", "id", F.col("position").cast("long").alias("position"))
 
 
 def _outside_ranking(evidence):
@@ -1293,7 +1297,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = Tables(spark, d)
-    return frames.interval_stats(frames.beat_intervals(t.beats()), t.beat_items()).select("item_id", *r6("mean", "std", "cv"))
+    return frames.interval_stats(frames.beat_intervals(t.beats(), span=1.0), t.beat_items()).select("item_id", *r6("mean", "std", "cv"))
 
 
 @bind(
@@ -1311,7 +1315,7 @@ def _(spark, d):
 )
 def _(spark, d):
     t = Tables(spark, d)
-    rows = frames.interval_histogram(frames.beat_intervals(t.beats()), t.beat_items())
+    rows = frames.interval_histogram(frames.beat_intervals(t.beats(), span=1.0), t.beat_items())
     return rows.select("item_id", *r6(*[c for c in rows.columns if c != "item_id"]))
 
 

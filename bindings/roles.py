@@ -123,10 +123,7 @@ class Tables:
     # --- catalogue ----------------------------------------------------------------------
     def catalogue(self):
         """Search results: parts under their brand and name. Promotional ones have another title."""
-        from pyspark.sql import Window
-
         key = F.concat(F.lit('artist:"'), "p_brand", F.lit('" track:"'), "p_name", F.lit('"'))
-        place = Window.partitionBy("search_key").orderBy("p_partkey")
         shown = F.when(F.col("p_type") == "PROMO", "zzzz").otherwise(F.concat("p_name", F.lit(" "), F.lower("p_type")))
         small = F.concat(F.lit("c/"), F.col("p_partkey").cast("string"))
         none = F.lit(None).cast("string")
@@ -150,7 +147,7 @@ class Tables:
             album.alias("album"),
         )
         return self.part.withColumn("search_key", key).select(
-            "search_key", F.row_number().over(place).alias("position"), candidate.alias("candidate")
+            "search_key", F.col("p_partkey").alias("position"), candidate.alias("candidate")
         )
 
     def catalogue_vectors(self):

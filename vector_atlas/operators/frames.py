@@ -143,14 +143,22 @@ def pitch_class_summary(frames: DataFrame, items: DataFrame, width: int = 12) ->
     )
 
 
-def beat_intervals(beats: DataFrame, seconds=None) -> DataFrame:
-    """``item_id, interval`` between consecutive beats ``(item_id, t)``."""
-    order = Window.partitionBy("item_id").orderBy("t")
+def beat_intervals(beats: DataFrame, span: float = 60.0) -> DataFrame:
+    """``item_id, interval`` between consecutive beats ``(item_id, t)``.
+
+    Beats are ordered within stretches of ``span`` time units, so a long item is spread over
+    many tasks; the gap between stretches comes from their first and last beats.
+    """
+    cut = beats.select("item_id", "t").withColumn("stretch", F.floor(F.col("t") / F.lit(span)))
+    order = Window.partitionBy("item_id", "stretch").orderBy("t")
+    inside = cut.withColumn("interval", F.col("t") - F.lag("t").over(order))
+    ends = cut.groupBy("item_id", "stretch").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    by_stretch = Window.partitionBy("item_id").orderBy("stretch")
+    between = ends.withColumn("interval", F.col("first") - F.lag("last").over(by_stretch))
     return (
-        beats.select("item_id", "t")
-        .withColumn("interval", F.col("t") - F.lag("t").over(order))
+        inside.select("item_id", "interval")
+        .unionByName(between.select("item_id", "interval"))
         .where(F.col("interval").isNotNull())
-        .select("item_id", "interval")
     )
 
 

@@ -82,7 +82,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     for _ in range(max_rounds):
         # large stars: look at both directions, move the larger ends to the minimum
         around = both_ways(links, "u", "v")
-        low = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # minima are written, so both join sides are plain shuffles and a hub's rows can be split
+        low = materialise(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = (
             around.where(F.col("v") > F.col("u"))
             .join(low, "u")
@@ -92,7 +93,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         )
         large = materialise(large, "links")
         # small stars: only smaller neighbours, moved to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         joined = large.join(low, "u")
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -49,3 +49,32 @@ def _(spark, d):
     from vector_atlas.llm.minmax import near_duplicates
 
     return near_duplicates(table(spark, d, "documents"))
+
+
+_LEAK_SQL = r"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+bw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+iw as (select distinct item_id, least(len(w), 10) k, array_to_string(w[i:i + 9], ' ') g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) i from bw where len(w) > 0)),
+dg as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') g
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) i from dw, (select distinct k from iw) where len(w) >= k)),
+hits as (select d.doc_id, d.i, d.k, iw.item_id from dg d join iw on d.k = iw.k and d.g = iw.g),
+words_hit as (select doc_id, count(distinct p) n_hit from (select distinct doc_id, unnest(range(i, i + k)) p from hits) group by doc_id),
+items_hit as (select doc_id, count(*) n_items, sha256(string_agg(item, ',' order by item)) s
+  from (select distinct doc_id, cast(item_id as varchar) item from hits) group by doc_id)
+select dw.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  coalesce(s, sha256('')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join words_hit using (doc_id) left join items_hit using (doc_id)"""
+
+
+@bind("op8_positional_index", _LEAK_SQL)
+def _(spark, d):
+    from vector_atlas.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -78,3 +78,64 @@ def _(spark, d):
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _crc_nibbles() -> str:
+    """The CRC-32 table for four bits, from its polynomial."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return str(out)
+
+
+_SHARD_SQL = r"""
+with bytes as (select doc_id, source, text, hex(encode(coalesce(text, ''))) x from documents),
+crc as (select doc_id, source, coalesce(strlen(text), 0) + 1 size, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(1, len(x) + 1), lambda i: (instr('0123456789ABCDEF', substr(x, case when i % 2 = 1 then i + 1 else i - 1 end, 1)) - 1)::bigint)),
+    lambda c, n: xor(c >> 4, NIBBLES[1 + (xor(c, n) & 15)])), 4294967295) text_crc32,
+  md5('17:' || coalesce(cast(doc_id as varchar), '')) g, coalesce('s' || source, '') s from bytes),
+ranked as (select *, row_number() over (partition by s order by g, doc_id, text_crc32) r, count(*) over (partition by s) n from crc),
+placed as (select *, row_number() over (order by cast((2 * r - 1) as double) / (2 * n), s, doc_id, text_crc32) - 1 p, count(*) over () total from ranked),
+cut as (select *, (p * 16) // total shard from placed)
+select doc_id, cast(size as bigint) size, cast(text_crc32 as bigint) text_crc32, 'rows' law, cast(shard as int) shard,
+  cast(p - cast(ceil(shard * total / 16) as bigint) as bigint) slot, cast(null as int) grown_shard from cut""".replace("NIBBLES", _crc_nibbles())
+
+
+@bind("op1_stratified_shards", _SHARD_SQL)
+def _(spark, d):
+    from vector_atlas.llm.shards import assign_shards
+
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, d, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    placed = assign_shards(rows, 16, tie_cols=("text_crc32",))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_MIX_SQL = r"""
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+[.,]?[\x20\x0A]')) plain,
+  cast('0x' || substr(md5('23:' || cast(doc_id as varchar)), 1, 12) as bigint) h, coalesce('0' || source, '1') s from documents),
+keyed as (select *, -ln((h + 0.5::double) / 281474976710656::double) / ((1 + plain)::double / (1 + size)) k from sized),
+sources as (select s, sum(size)::bigint source_size from keyed group by s),
+weights as (select *, [5, 2, 1][1 + (row_number() over (order by s) - 1) % 3] w, 3 * source_size most from sources),
+levels as (select *, most::double / w lev from weights),
+water as (select *, (sum(source_size) over () - coalesce(sum(most) over b, 0))::double / (sum(w) over () - coalesce(sum(w) over b, 0))::double wat
+  from levels window b as (order by lev, s rows between unbounded preceding and 1 preceding)),
+aims as (select s, source_size, case when lev <= wat then most::double else w * max(case when lev > wat then wat end) over () end target from water),
+parts as (select *, case when source_size > 0 then floor(target / source_size + 1e-9) else 0 end epochs from aims),
+run as (select doc_id, size, source_size, target, epochs, greatest(0, target - epochs * source_size) rest,
+  sum(size) over (partition by s order by k, cast(doc_id as varchar) rows unbounded preceding) upto from keyed join parts using (s))
+select doc_id, cast(size as bigint) size, source_size, target,
+  cast(size * (epochs + case when rest > 0 and 2 * upto - size <= 2 * rest then 1 else 0 end) as bigint) taken from run"""
+
+
+@bind("op4_weighted_mixture", _MIX_SQL)
+def _(spark, d):
+    from vector_atlas.llm.mixture import mix
+
+    mixed = mix(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

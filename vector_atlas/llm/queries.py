@@ -139,3 +139,47 @@ def _(spark, d):
 
     mixed = mix(table(spark, d, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@bind("op3_knn_quality")
+def _(spark, d):
+    from vector_atlas.llm.knn_quality import held_out, score
+
+    labels = table(spark, d, "labels").where(~held_out()).select("doc_id", "quality")
+    scored = score(table(spark, d, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@bind("op9_fuzzy_licenses")
+def _(spark, d):
+    from vector_atlas.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, d, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
+@bind("op2_path_templates")
+def _(spark, d):
+    from vector_atlas.llm.url_templates import judge_urls
+
+    return judge_urls(table(spark, d, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+_CHAT_SQL = r"""
+with turns as (select conv_id, turn, turn // 256 part, coalesce(role, 'unknown') role, replace(coalesce(text, ''), '<|', '< |') text from conversations),
+seen as (select t.*, s.perspective from turns t join (select distinct conv_id, role perspective from turns where role <> 'system') s using (conv_id)),
+heads as (select *, '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
+  else 'user name=' || replace(role, '<|', '< |') end || chr(10) head from seen),
+placed as (select *, sum(length(head) + length(text) + 11) over w - length(text) - 11 a from heads
+  window w as (partition by conv_id, perspective, part order by turn, role, text rows unbounded preceding))
+select conv_id, perspective, cast(part as bigint) part, count(*) n_turns,
+  string_agg(head || text || '<|im_end|>' || chr(10), '' order by turn, role, text) rendered,
+  coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(text) as bigint), ',' order by turn, role, text) filter (where role = perspective), '') masks
+from placed group by conv_id, perspective, part"""
+
+
+@bind("op6_perspective_rotation", _CHAT_SQL)
+def _(spark, d):
+    from vector_atlas.llm.perspectives import rotate
+
+    spans = F.array_join(F.transform("masks", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
+    return rotate(table(spark, d, "conversations")).withColumn("masks", spans)

@@ -3,8 +3,8 @@
 A document's set are its distinct shingles of five words. Under each permutation of the shingle
 hashes both the smallest and the largest value are kept, so ``permutations`` evaluations give twice
 as many signature positions. ``rows`` positions form a band; documents that agree in a band meet in
-a bucket. With 50 bands of 7 positions two sets of Jaccard similarity s meet with probability
-1 - (1 - s**7)**50: all but 4 in 10**9 pairs at s = 0.85.
+a bucket. With 75 bands of 9 positions two sets of Jaccard similarity s meet with probability
+1 - (1 - s**9)**75: all but 3 in 10**9 pairs at s = 0.85, one in 50 at s = 0.4.
 
 Copies are folded before: one representative stands for all documents of one set. Within a bucket no
 pair lists are formed. Every member is compared with the bucket's centre, the member that shares most
@@ -20,20 +20,20 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vector_atlas.llm import textbuf
 from vector_atlas.llm.tables import map_batches, sized
-from vector_atlas.operators.graph import connected_components
+from vector_atlas.llm.components import settle
 from vector_atlas.session import materialise
 
 
 @dataclass(frozen=True)
 class MinMaxConfig:
     shingle: int = 5
-    bands: int = 50
-    rows: int = 7
+    bands: int = 75
+    rows: int = 9
     percent: int = 85  # link when 100 * |intersection| >= percent * |union|
     star_rounds: int = 4  # rounds of comparing with one centre per bucket before the rest is compared
     rest: float = 4.0  # the rest is compared at once when its pairs are at most this many per member row
@@ -157,15 +157,14 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str
     """``item_id, component`` of the representatives that meet others in a bucket; ``reps``: rep, n, digest, bands."""
     rows = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = materialise(
-        rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key"), "buckets"
+        rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("met")).where("lo != hi").select("key", "met"), "buckets"
     )
-    met = materialise(rows.join(shared, "key"), "met")
-    sizes = materialise(met.groupBy("key").agg(F.count("*").alias("met")), "bucketsizes")
-    degree = met.join(sizes, "key").groupBy("rep").agg(F.sum("met").alias("degree"))
-    nodes = materialise(met.select("rep", "n").distinct().join(degree, "rep"), "nodes")
-    members = materialise(met.select("key", "rep").join(nodes, "rep"), "members")
+    # a document's degree: with how many others it shares buckets, counted once per bucket
+    degree = F.sum("met").over(Window.partitionBy("rep"))
+    members = materialise(rows.join(shared, "key").withColumn("degree", degree).drop("met"), "members")
+    nodes = materialise(members.select("rep").distinct(), "nodes")
     n_members = members.count()
-    sets = materialise(_full_sets(docs, reps.select("rep", "digest").join(nodes.select("rep"), "rep", "left_semi"), id_col, text_col, cfg), "sets")
+    sets = materialise(_full_sets(docs, reps.select("rep", "digest").join(nodes, "rep", "left_semi"), id_col, text_col, cfg), "sets")
     ids = nodes.select(F.col("rep").alias("item_id"))
     tested, comps, state, turn = None, ids.withColumn("component", F.col("item_id")), members.withColumn("comp", F.col("rep")), 0
     while True:
@@ -194,10 +193,11 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str
             pairs = _pairs(rows, F.col("rep"), F.col("centre"), F.col("n"), F.col("n_centre"), cfg.percent)
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_confirm(materialise(pairs, "pairs"), sets, cfg.percent), "tested")
+        new = materialise(_confirm(pairs, sets, cfg.percent), "tested")
         tested = new if tested is None else tested.unionByName(new)
         links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        comps = materialise(connected_components(ids, links), "components")
+        comps = ids.join(settle(links), "item_id", "left").select("item_id", F.coalesce("component", "item_id").alias("component"))
+        comps = materialise(comps, "components")
         if at_once:
             return comps
         state = state.drop("comp").join(comps.toDF("rep", "comp"), "rep")

@@ -183,3 +183,15 @@ def _(spark, d):
 
     spans = F.array_join(F.transform("masks", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
     return rotate(table(spark, d, "conversations")).withColumn("masks", spans)
+
+
+@bind("op7_order_minhash")
+def _(spark, d):
+    from vector_atlas.llm.order_minhash import as_text, fingerprint_edits, likeness
+
+    rows = fingerprint_edits(table(spark, d, "documents"))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )

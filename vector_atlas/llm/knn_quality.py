@@ -126,14 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return Space(features, np.asarray(found.column(1), dtype=np.float64) >= 0.5, cfg)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cfg: VoteConfig = VoteConfig()) -> DataFrame:
-    """``docs`` plus ``score`` (0 to 1, the weighted share of neighbours with label 1).
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cfg: VoteConfig = VoteConfig(), out: str = "score") -> DataFrame:
+    """``docs`` plus the column ``out`` (0 to 1, the weighted share of neighbours with label 1).
 
     Null and empty texts, and every document when there are no labels, get the share of label 1 in the
     sample (0.5 without any). Columns of ``docs`` other than the text are carried, never used.
     """
     import pyarrow as pa
 
+    docs = docs.drop(out)
     space = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, cfg))
     names = docs.columns
     at = names.index(text_col)
@@ -143,11 +144,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def step(state, batch):
         parts = [space.value.scores(x, cfg) for _, x in featurise(batch.column(at), cfg, *state)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts), pa.float64())], names=[*names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts), pa.float64())], names=[*names, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(out, DoubleType())])
     return map_batches(docs, schema, start, step)
 
 

@@ -195,3 +195,10 @@ def _(spark, d):
         as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"),
         likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
     )
+
+
+@bind("op5_collinear_passages")
+def _(spark, d):
+    from vector_atlas.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, d, "documents"))

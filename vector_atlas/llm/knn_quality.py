@@ -103,12 +103,14 @@ class Space:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, cfg: VoteConfig) -> Space:
-    """Fits on at most ``cfg.sample`` labelled documents. Rows that repeat an id count by their mean label."""
+    """Fits on at most ``cfg.sample`` labelled documents. Labels that repeat an id
+    count by their mean, documents that repeat one by their smallest text."""
     import pyarrow as pa
 
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.avg(label_col).alias("label"))
     drawn = marks.orderBy(F.md5(F.concat(F.lit(f"{cfg.seed}:"), F.col(id_col).cast("string")))).limit(cfg.sample)
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(drawn), id_col).dropDuplicates([id_col])
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(drawn), id_col)
+    rows = rows.groupBy(id_col).agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
     def start():
         return textbuf.Powers(), textbuf.space_words()
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_batches(rows.select(id_col, "text", "label"), f"id {kind}, label double, features binary", start, step).orderBy("id").toArrow()
-    features = np.array([np.frombuffer(x.as_buffer(), np.float16) for x in found.column(2)], dtype=np.float32).reshape(len(found), -1)
+    features = np.array([np.frombuffer(x.as_buffer(), np.float16) for x in found.column(2)], dtype=np.float32).reshape(len(found), cfg.features + EXTRA)
     return Space(features, np.asarray(found.column(1), dtype=np.float64) >= 0.5, cfg)
 
 

@@ -77,8 +77,8 @@ def near_by_hand(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("star_rounds,rest", [(4, 4.0), (3, 0.0)])
-def test_near_duplicates_equal_all_pairs(spark, star_rounds, rest):
+@pytest.mark.parametrize("small,block", [(12, 512), (0, 7), (1000, 512)])
+def test_near_duplicates_equal_all_pairs(spark, small, block):
     rng = random.Random(3)
     rows, base = [], prose(rng, 120)
     for i in range(60):
@@ -89,7 +89,7 @@ def test_near_duplicates_equal_all_pairs(spark, star_rounds, rest):
     for i in range(60, 80):
         rows.append((i, " ".join(prose(rng, rng.randrange(1, 60)))))
     rows += [(80, rows[70][1]), (81, rows[70][1].upper()), (82, ""), (83, None), (84, "one"), (85, "one"), (86, "a b c d"), (87, "a b c d")]
-    cfg = minmax.MinMaxConfig(star_rounds=star_rounds, rest=rest)
+    cfg = minmax.MinMaxConfig(small=small, block=block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minmax.near_duplicates(table(spark, rows), cfg=cfg).collect()}
     assert got == near_by_hand(rows)
 

@@ -6,12 +6,15 @@ as many signature positions. ``rows`` positions form a band; documents that agre
 a bucket. With 75 bands of 9 positions two sets of Jaccard similarity s meet with probability
 1 - (1 - s**9)**75: all but 3 in 10**9 pairs at s = 0.85, one in 50 at s = 0.4.
 
-Copies are folded before: one representative stands for all documents of one set. Within a bucket no
-pair lists are formed. Every member is compared with the bucket's centre, the member that shares most
-buckets with others; linked documents then form components, and only buckets that still hold several
-components go on, with another centre or, once few pairs are left, with every pair of members of
-different components. So each two members of a bucket are compared or already connected, whatever
-its size. Links are confirmed on the full sets, read again from the texts.
+Copies are folded before: one representative stands for all documents of one set. First, every member
+of a bucket is compared with the bucket's centre, the member that shares most buckets with others;
+linked documents form components, and only buckets that still hold several components go on. Members
+of small ones (at most ``small`` documents, so at most ``small`` / 2 rows per member) are compared in
+pairs. Larger ones that share members are taken together as families, cut into blocks, and compared
+block by block inside tasks: exact intersections of all sets of different components, of which only
+links that join components come out. So each two members of a bucket are compared or already
+connected, and no group's pairs are ever listed. Links are confirmed on the full sets, read again from
+the texts.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vector_atlas.llm import textbuf
-from vector_atlas.llm.tables import map_batches, sized
+from vector_atlas.llm.tables import map_batches, sized, whole_groups
 from vector_atlas.llm.components import settle
 from vector_atlas.session import materialise
 
@@ -35,8 +38,8 @@ class MinMaxConfig:
     bands: int = 75
     rows: int = 9
     percent: int = 85  # link when 100 * |intersection| >= percent * |union|
-    star_rounds: int = 4  # rounds of comparing with one centre per bucket before the rest is compared
-    rest: float = 4.0  # the rest is compared at once when its pairs are at most this many per member row
+    small: int = 12  # members of a bucket that are compared in pairs
+    block: int = 512  # members of a family per block
 
     @property
     def permutations(self) -> int:
@@ -163,45 +166,108 @@ def confirmed_links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str
     degree = F.sum("met").over(Window.partitionBy("rep"))
     members = materialise(rows.join(shared, "key").withColumn("degree", degree).drop("met"), "members")
     nodes = materialise(members.select("rep").distinct(), "nodes")
-    n_members = members.count()
     sets = materialise(_full_sets(docs, reps.select("rep", "digest").join(nodes, "rep", "left_semi"), id_col, text_col, cfg), "sets")
-    ids = nodes.select(F.col("rep").alias("item_id"))
-    tested, comps, state, turn = None, ids.withColumn("component", F.col("item_id")), members.withColumn("comp", F.col("rep")), 0
-    while True:
-        groups = state.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        open_keys = materialise(
-            groups.groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
-            .select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("cross")).where("cross > 0"),
-            "open",
-        )
-        left = open_keys.agg(F.sum("cross")).first()[0] or 0
-        if not left:
-            return comps
-        at_once = left <= cfg.rest * n_members or turn >= cfg.star_rounds
-        state = materialise(state.join(open_keys.select("key"), "key"), "state")
-        if at_once:
-            a, b = state.alias("a"), state.alias("b")
-            rows = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("a.comp") < F.col("b.comp"))
-            pairs = _pairs(rows, F.col("a.rep"), F.col("b.rep"), F.col("a.n"), F.col("b.n"), cfg.percent)
-        else:
-            # the member of most buckets first, in later rounds another one by a digest of its own
-            rank = F.struct("degree", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), "rep")
-            centres = materialise(
-                state.groupBy("key").agg(F.max_by(F.struct("rep", "n"), rank).alias("c")).select("key", "c.*").toDF("key", "centre", "n_centre"), "centres"
-            )
-            rows = state.join(centres, "key")
-            pairs = _pairs(rows, F.col("rep"), F.col("centre"), F.col("n"), F.col("n_centre"), cfg.percent)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_confirm(pairs, sets, cfg.percent), "tested")
-        tested = new if tested is None else tested.unionByName(new)
-        links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        comps = ids.join(settle(links), "item_id", "left").select("item_id", F.coalesce("component", "item_id").alias("component"))
-        comps = materialise(comps, "components")
-        if at_once:
-            return comps
-        state = state.drop("comp").join(comps.toDF("rep", "comp"), "rep")
-        turn += 1
+    centres = members.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("degree", "rep")).alias("c"))
+    centres = materialise(centres.select("key", "c.*").toDF("key", "centre", "n_centre"), "centres")
+    spokes = _pairs(members.join(centres, "key"), F.col("rep"), F.col("centre"), F.col("n"), F.col("n_centre"), cfg.percent)
+    tested = materialise(_confirm(spokes, sets, cfg.percent), "tested")
+    links = tested.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comps = materialise(_component_of(nodes, links), "components")
+    # buckets that still hold several components
+    state = members.select("key", "rep", "n").join(comps, "rep")
+    mixed = state.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("rep").alias("head"))
+    mixed = materialise(mixed.where("least <> most").select("key", "m", "head"), "mixed")
+    state = materialise(state.join(mixed, "key"), "state")
+    few = state.where(F.col("m") <= cfg.small)
+    a, b = few.alias("a"), few.alias("b")
+    rows = a.join(b, F.col("a.key") == F.col("b.key")).where(F.col("a.comp") < F.col("b.comp"))
+    pairs = _pairs(rows, F.col("a.rep"), F.col("b.rep"), F.col("a.n"), F.col("b.n"), cfg.percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    found = _confirm(pairs, sets, cfg.percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    many = state.where(F.col("m") > cfg.small)
+    if many.limit(1).count():
+        found = found.unionByName(_family_links(many, sets, cfg))
+    found = materialise(found, "more")
+    if not found.limit(1).count():
+        return comps.toDF("item_id", "component")
+    return materialise(_component_of(nodes, links.unionByName(found)), "components").toDF("item_id", "component")
+
+
+def _component_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``rep, comp`` of all nodes; a node without links is its own component."""
+    placed = settle(links).toDF("rep", "comp")
+    return nodes.join(placed, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
+
+
+def _family_links(many: DataFrame, sets: DataFrame, cfg: MinMaxConfig) -> DataFrame:
+    """``src, dst``: links between different components within families, which are the buckets of
+    ``many`` (key, rep, comp, head) that hang together by their members."""
+    ties = many.select(F.col("rep").alias("src"), F.col("head").alias("dst")).distinct()
+    families = settle(ties).toDF("rep", "family")
+    rows = materialise(many.select("rep", "comp").distinct().join(families, "rep"), "families")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("all"))
+    blocks = F.ceil(F.col("all") / cfg.block).cast("int")
+    rows = rows.join(sizes, "family").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = rows.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "own", "members")
+    tiles = tiles.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for table in whole_groups(batches, 3):
+            keys = [table.column(c).to_pylist() for c in range(3)]
+            first = [r for r in range(len(table)) if r == 0 or any(k[r] != k[r - 1] for k in keys)]
+            out = []
+            for lo, hi in zip(first, [*first[1:], len(table)]):
+                own = table.slice(lo, hi - lo)
+                members = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column(6)]
+                _, comp = np.unique(np.asarray(own.column(4).to_numpy(zero_copy_only=False)), return_inverse=True)
+                out += [(lo + a, lo + b) for a, b in _tile_links(members, comp, cfg.percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([table.column(3).take(pa.array([x[e] for x in out])).combine_chunks() for e in (0, 1)], names=["src", "dst"])
+
+    kind = many.schema["rep"].dataType.simpleString()
+    return tiles.mapInArrow(run, f"src {kind}, dst {kind}")
+
+
+def _tile_links(members: list[np.ndarray], comp: np.ndarray, percent: int, width: int = 4096) -> list[tuple[int, int]]:
+    """Links that join components of a tile: at most one fewer than there are components.
+
+    Members of all components but the largest are compared with every member; intersections are sums of
+    matrix products over columns of shared shingles."""
+    sizes = np.array([len(x) for x in members])
+    largest = np.bincount(comp).argmax()
+    rows = np.flatnonzero(comp != largest)
+    if not len(rows):
+        return []
+    _, ids, counts = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    rank = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[ids]
+    owner = np.repeat(np.arange(len(members)), sizes)
+    owner, rank = owner[rank >= 0], rank[rank >= 0]
+    order = np.argsort(rank, kind="stable")
+    owner, rank = owner[order], rank[order]
+    shared = np.zeros((len(rows), len(members)), dtype=np.float32)
+    for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        lo, hi = np.searchsorted(rank, (at, at + width))
+        part = np.zeros((len(members), width), dtype=np.float32)
+        part[owner[lo:hi], rank[lo:hi] - at] = 1
+        shared += part[rows] @ part.T
+    linked = 100 * shared.astype(np.int64) >= percent * (sizes[rows][:, None] + sizes[None, :] - shared.astype(np.int64))
+    root = list(range(int(comp.max()) + 1))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(linked & (comp[rows][:, None] != comp[None, :]))):
+        x, y = find(int(comp[rows[a]])), find(int(comp[b]))
+        if x != y:
+            root[x] = y
+            out.append((int(rows[a]), int(b)))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: MinMaxConfig = MinMaxConfig()) -> DataFrame:

@@ -25,3 +25,30 @@ def map_batches(df: DataFrame, schema: str, start, step) -> DataFrame:
                 yield from step(state, batch)
 
     return df.mapInArrow(run, schema)
+
+
+def whole_groups(batches, keys: int):
+    """Tables of whole groups: rows are sorted by the first ``keys`` columns, groups may span batches."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        cut = len(table) - 1
+        tail = [table.column(c)[cut] for c in range(keys)]
+        lo, hi = 0, cut  # first row of the last group, by bisection
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if all(table.column(c)[mid] == tail[c] for c in range(keys)):
+                hi = mid
+            else:
+                lo = mid + 1
+        if lo:
+            yield table.slice(0, lo)
+        held = table.slice(lo)
+    if held is not None and len(held):
+        yield held

@@ -59,3 +59,30 @@ def test_k_beyond_the_index(spark):
     queries = rows.withColumnRenamed("item_id", "query_id")
     own = queries.select("query_id", F.col("query_id").alias("item_id"))
     assert retrieve_top_k(queries, rows, 10, own).count() == 2
+
+
+ALL_FORMS = [{}, {"side_rows": 45}, {"side_rows": 5, "block_rows": 20}]
+
+
+@pytest.mark.parametrize("limits", ALL_FORMS)
+def test_repeated_queries_and_vectors_of_any_length(spark, limits):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)) * rng.uniform(0.1, 5, size=(300, 1))
+    x[::50] = 0
+    items = spark.createDataFrame([(f"i{n:03d}", v) for n, v in enumerate(x.tolist())], "item_id string, embedding array<double>")
+    rows = [(f"q{n:02d}", v) for n, v in enumerate(x[:40].tolist())]
+    queries = spark.createDataFrame(rows + rows[:7] + rows[:3], "query_id string, embedding array<double>")
+    skip = [(f"q{n:02d}", f"i{m:03d}") for n in range(5) for m in range(0, 300, 3 + 20 * n)]
+    found = retrieve_top_k(queries, items, 4, spark.createDataFrame(skip, "query_id string, item_id string"), **limits).collect()
+    want = []
+    for n in range(40):
+        scores = np.round(x @ x[n], 9)
+        near = sorted((-scores[m], f"i{m:03d}") for m in range(300) if (f"q{n:02d}", f"i{m:03d}") not in set(skip))[:4]
+        want += [(f"q{n:02d}", item, place + 1) for place, (_, item) in enumerate(near)]
+    assert sorted((r.query_id, r.item_id, r["rank"]) for r in found) == sorted(want)
+
+
+def test_one_query_with_two_vectors_is_an_error(spark):
+    rows = spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "query_id string, embedding array<double>")
+    with pytest.raises(ValueError, match="several vectors"):
+        retrieve_top_k(rows, rows.withColumnRenamed("query_id", "item_id"), 1)

@@ -6,11 +6,13 @@ Three physical forms give the same rows:
   query side emits its k best;
 * the query side is small (row count checked): it is broadcast, every task of the searched
   side keeps a running k best per query, and only those rows are shuffled;
-* both are large: rows are grouped by nearest pivot into blocks of bounded size, the
-  triangle inequality discards block pairs that cannot contribute, and the remaining pairs
-  are joined by key. Each pair is one matrix product and emits k rows per query.
+* both are large: rows are grouped by nearest pivot into blocks of bounded size, bounds on
+  the dot product discard block pairs that cannot contribute, and the blocks of the query
+  side are put together into tiles. Every searched block is sent once to each tile (and run)
+  that needs it, and streams past the tile's queries as matrix products.
 
-Ties are broken by item id. Nothing is sampled, and no pair of rows leaves a task.
+The vectors may have any length: the bounds hold for all of them. Ties are broken by item id,
+a repeated query row counts once. Nothing is sampled, and no pair of rows leaves a task.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ SIDE_ROWS = 8192  # largest side that may be broadcast
 SIDE_BYTES = 64 << 20
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 4096
-RUN_BLOCKS = 256  # searched blocks one task works through for one query block
+RUN_BLOCKS = 256  # searched blocks one task works through for one tile
+TILE_BLOCKS = 8  # query blocks that share the searched blocks sent to them
 CHUNK_QUERIES = 512
 SLACK = 1e-9
 
@@ -149,7 +152,7 @@ def _pivots(index: DataFrame, count: int) -> np.ndarray:
 
 
 def _assign(rows: DataFrame, id_col: str, shared) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it (``gap``)."""
+    """Add the nearest pivot (``cell``), the distance to it (``gap``) and the length (``norm``)."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
@@ -160,16 +163,21 @@ def _assign(rows: DataFrame, id_col: str, shared) -> DataFrame:
             cell = np.empty(len(x), dtype=np.int32)
             gap = np.empty(len(x))
             for s in range(0, len(x), CHUNK_QUERIES):
-                near = x[s : s + CHUNK_QUERIES] @ pivots.T
-                cell[s : s + CHUNK_QUERIES] = near.argmax(axis=1)
-                gap[s : s + CHUNK_QUERIES] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * near.max(axis=1)))
+                away = _squared_distance(x[s : s + CHUNK_QUERIES], pivots)
+                cell[s : s + CHUNK_QUERIES] = away.argmin(axis=1)
+                gap[s : s + CHUNK_QUERIES] = np.sqrt(away.min(axis=1))
+            norm = np.sqrt((x * x).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell), pa.array(gap)],
-                names=["id", "embedding", "cell", "gap"],
+                [batch.column(0), batch.column(1), pa.array(cell), pa.array(gap), pa.array(norm)],
+                names=["id", "embedding", "cell", "gap", "norm"],
             )
 
     slim = rows.select(F.col(id_col).cast("string").alias("id"), F.col("embedding").cast("array<double>"))
-    return slim.mapInArrow(assign, "id string, embedding array<double>, cell int, gap double")
+    return slim.mapInArrow(assign, "id string, embedding array<double>, cell int, gap double, norm double")
+
+
+def _squared_distance(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * (x @ p.T))
 
 
 def _pack(assigned: DataFrame, counts: dict[int, int], block_rows: int) -> DataFrame:
@@ -177,9 +185,8 @@ def _pack(assigned: DataFrame, counts: dict[int, int], block_rows: int) -> DataF
 
     A cell with many rows is split by a hash of the id, so no block grows with the data.
     """
-    parts = {cell: math.ceil(n / block_rows) for cell, n in counts.items()}
-    table = F.create_map(*[F.lit(v) for pair in parts.items() for v in pair])
-    part = F.pmod(F.xxhash64("id"), F.element_at(table, F.col("cell"))).cast("int")
+    parts = [math.ceil(counts.get(cell, 0) / block_rows) or 1 for cell in range(max(counts) + 1)]  # <= MAX_PIVOTS
+    part = F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(p) for p in parts]), F.col("cell"))).cast("int")
     return (
         assigned.withColumn("part", part)
         .groupBy("cell", "part")
@@ -205,19 +212,24 @@ def _search_blocks(queries: DataFrame, index: DataFrame, k: int, block_rows: int
     shared = spark.sparkContext.broadcast(pivots)
 
     assigned = _assign(searched, "item_id", shared)
-    cells = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).toArrow()
-    counts = dict(zip(cells.column("cell").to_pylist(), cells.column("n").to_pylist()))  # <= MAX_PIVOTS
-    radius = np.full(len(pivots), -np.inf)
-    radius[cells.column("cell").to_numpy()] = cells.column("radius").to_numpy()
+    cells = assigned.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("gap").alias("radius"), F.max("norm").alias("longest")
+    ).toArrow()  # <= MAX_PIVOTS
+    at = cells.column("cell").to_numpy()
+    counts = dict(zip(at.tolist(), cells.column("n").to_pylist()))
+    radius, longest = np.full(len(pivots), -np.inf), np.zeros(len(pivots))
+    radius[at], longest[at] = cells.column("radius").to_numpy(), cells.column("longest").to_numpy()
     right = materialise(_pack(assigned, counts, block_rows), "blocks")
     if same:
         left = right
     else:
         mine = _assign(queries, "query_id", shared)
         mine_counts = {r["cell"]: r["count"] for r in mine.groupBy("cell").count().collect()}  # <= MAX_PIVOTS
-        left = materialise(_pack(mine, mine_counts or {0: 1}, block_rows), "query-blocks")
+        if not mine_counts:
+            return spark.createDataFrame([], HITS)
+        left = materialise(_pack(mine, mine_counts, block_rows), "query-blocks")
 
-    # a first block of the own cell bounds how far the k-th neighbour of each query can be
+    # a first block of the own cell bounds how small the k-th best score of each query can be
     near = right.where("part = 0").select("cell", F.col("ids").alias("near_ids"), F.col("flat").alias("near_flat"))
 
     def wanted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +238,15 @@ def _search_blocks(queries: DataFrame, index: DataFrame, k: int, block_rows: int
             blocks, targets = [], []
             for row in range(batch.num_rows):
                 _, q = _unpack(batch, row, "ids", "flat")
-                reach = np.full(len(q), np.inf)
+                floor = np.full(len(q), -np.inf)
                 if batch.column("near_flat")[row].is_valid:
                     _, x = _unpack(batch, row, "near_ids", "near_flat")
                     if len(x) >= k:
                         for s in range(0, len(q), CHUNK_QUERIES):
-                            kth = np.partition(q[s : s + CHUNK_QUERIES] @ x.T, -k, axis=1)[:, -k]
-                            reach[s : s + CHUNK_QUERIES] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * kth))
+                            floor[s : s + CHUNK_QUERIES] = np.partition(q[s : s + CHUNK_QUERIES] @ x.T, -k, axis=1)[:, -k]
                 need = np.zeros(len(p), dtype=bool)
                 for s in range(0, len(q), CHUNK_QUERIES):
-                    far = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (q[s : s + CHUNK_QUERIES] @ p.T)))
-                    need |= (far - radius[None, :] <= reach[s : s + CHUNK_QUERIES, None] + 1e-6).any(axis=0)
+                    need |= _may_reach(q[s : s + CHUNK_QUERIES], floor[s : s + CHUNK_QUERIES], p, radius, longest).any(axis=0)
                 found = np.flatnonzero(need & np.isfinite(radius))
                 blocks.extend([batch.column("block")[row].as_py()] * len(found))
                 targets.extend(found.tolist())
@@ -249,40 +259,77 @@ def _search_blocks(queries: DataFrame, index: DataFrame, k: int, block_rows: int
         .select("block", "ids", "flat", "near_ids", "near_flat")
         .mapInArrow(wanted_cells, "left_block string, cell int")
     )
+    n_left = sum(math.ceil(n / block_rows) for n in (counts if same else mine_counts).values())
     runs = max(1, math.ceil(sum(math.ceil(n / block_rows) for n in counts.values()) / RUN_BLOCKS))
-    pairs = (
-        needed.join(right.select("cell", F.col("block").alias("right_block")), "cell")
-        .withColumn("run", F.pmod(F.xxhash64("right_block"), F.lit(runs)).cast("int"))
-        .select("left_block", "right_block", "run")
+    tiles = max(1, math.ceil(n_left / TILE_BLOCKS))
+    tile = F.pmod(F.xxhash64("left_block"), F.lit(tiles)).cast("int")
+    # block names only; a cell's blocks are found by its number, so no pair of names is joined by cell alone
+    parts = [math.ceil(counts.get(cell, 0) / block_rows) for cell in range(len(pivots))]
+    n_parts = F.get(F.array(*[F.lit(n) for n in parts]), F.col("cell"))
+    wanted = materialise(
+        needed.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+        .groupBy(tile.alias("tile"), F.concat_ws(".", "cell", "part").alias("block"))
+        .agg(F.collect_set("left_block").alias("wanted_by"))  # at most the blocks of a tile
+        .withColumn("run", F.pmod(F.xxhash64("block"), F.lit(runs)).cast("int")),
+        "wanted",
     )
-    left_rows = left.select(
-        F.col("block").alias("left_block"),
-        F.col("ids").alias("left_ids"),
-        F.col("flat").alias("left_flat"),
-        F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"),
+    nothing = F.lit(None).cast("array<string>")
+    sent = wanted.join(right.select("block", "ids", "flat"), "block").select(
+        "tile", "run", F.lit(1).alias("kind"), "block", "ids", "flat", "wanted_by"
     )
-    right_rows = right.select(
-        F.col("block").alias("right_block"), F.col("ids").alias("right_ids"), F.col("flat").alias("right_flat")
+    held = left.withColumnRenamed("block", "left_block").select(
+        tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), F.lit(0).alias("kind"),
+        F.col("left_block").alias("block"), "ids", "flat", nothing.alias("wanted_by"),
     )
-    joined = pairs.join(right_rows, "right_block").join(left_rows, ["left_block", "run"])
+    rows = held.unionByName(sent).repartition("tile", "run").sortWithinPartitions("tile", "run", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, best, names, q = None, None, None, None
+        current, blocks = None, {}
         for batch in batches:
             for row in range(batch.num_rows):
-                block = batch.column("left_block")[row].as_py()
-                if block != current:
-                    if best is not None:
+                key = (batch.column("tile")[row].as_py(), batch.column("run")[row].as_py())
+                if key != current:
+                    for names, _, best in blocks.values():
                         yield best.batch(names)
-                    current, best = block, Best(k)
-                    names, q = _unpack(batch, row, "left_ids", "left_flat")
-                ids, x = _unpack(batch, row, "right_ids", "right_flat")
-                best.add(q, x, ids)
-        if best is not None:
+                    current, blocks = key, {}
+                ids, x = _unpack(batch, row, "ids", "flat")
+                if batch.column("kind")[row].as_py() == 0:
+                    blocks[batch.column("block")[row].as_py()] = (ids, x, Best(k))
+                else:
+                    for name in batch.column("wanted_by")[row].as_py():
+                        _, q, best = blocks[name]
+                        best.add(q, x, ids)
+        for names, _, best in blocks.values():
             yield best.batch(names)
 
-    hits = joined.select("left_block", "left_ids", "left_flat", "right_ids", "right_flat").mapInArrow(search, HITS)
-    return _cut(hits, k)
+    return _cut(rows.mapInArrow(search, HITS), k)
+
+
+def _may_reach(q, floor, pivots, radius, longest) -> np.ndarray:
+    """Cells that may hold a vector scoring at least ``floor``, for vectors of any length.
+
+    With x within ``radius`` of the pivot p: q.x <= q.p + |q| radius, and, as |q - x| is at least
+    |q - p| - radius, q.x <= (|q|^2 + longest^2 - (|q - p| - radius)^2) / 2.
+    """
+    squared = (q * q).sum(axis=1)[:, None]
+    apart = np.maximum(0.0, np.sqrt(_squared_distance(q, pivots)) - radius[None, :] - 1e-6)
+    by_pivot = q @ pivots.T + np.sqrt(squared) * radius[None, :]
+    by_distance = (squared + (longest * longest)[None, :] - apart * apart) / 2
+    slack = 1e-6 * (1.0 + np.abs(floor[:, None]))
+    return np.minimum(by_pivot, by_distance) >= floor[:, None] - slack
+
+
+def _single(queries: DataFrame) -> DataFrame:
+    """Queries without repeated rows; one id with two vectors is an error."""
+    marks = queries.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.min(F.xxhash64("embedding")).alias("lo"), F.max(F.xxhash64("embedding")).alias("hi")
+    ).where("n > 1")
+    worst = marks.agg(F.count("*").alias("again"), F.max(F.struct(F.col("lo") != F.col("hi"), "query_id")).alias("odd")).first()
+    if not worst["again"]:
+        return queries
+    if worst["odd"][0]:
+        raise ValueError(f"query {worst['odd'][1]} has several vectors")
+    return queries.dropDuplicates(["query_id"])
 
 
 def nearest(
@@ -293,7 +340,8 @@ def nearest(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query_id, item_id, score``: the k best rows of ``index(item_id, embedding)`` for every
-    row of ``queries(query_id, embedding)``. The block form expects unit vectors."""
+    row of ``queries(query_id, embedding)``. A repeated query row counts once; item ids are distinct."""
+    queries = _single(queries.select("query_id", "embedding"))
     side = _side(index, "item_id", side_rows)
     if side is not None:
         return _search_small_index(queries, side, k)
@@ -312,18 +360,21 @@ def retrieve_top_k(
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` with ``exclude(query_id, item_id)`` rows left out.
 
-    Each query fetches as many extra rows as the longest exclusion list holds, so removing
-    excluded rows afterwards still leaves k whenever the index has them.
+    A query with exclusions fetches as many extra rows as its own list may hold (up to the next
+    power of two), so removing them still leaves k whenever the index has them.
     """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
-    extra = 0
-    if exclude is not None:
-        exclude = exclude.select("query_id", "item_id").distinct()
-        longest = exclude.groupBy("query_id").count().agg(F.max("count")).first()[0]
-        extra = longest or 0
-    hits = nearest(queries, index, k + extra, **limits)
-    if extra:
+    if exclude is None:
+        hits = nearest(queries, index, k, **limits)
+    else:
+        exclude = materialise(exclude.select("query_id", "item_id").distinct(), "excluded")
+        power = F.ceil(F.log2(F.count("*"))).cast("int")
+        lengths = materialise(exclude.groupBy("query_id").agg(power.alias("power")), "exclusions")
+        hits = nearest(queries.join(lengths, "query_id", "left_anti"), index, k, **limits)
+        for row in lengths.select("power").distinct().orderBy("power").collect():  # one per length class
+            own = queries.join(lengths.where(F.col("power") == row["power"]), "query_id", "left_semi")
+            hits = hits.unionByName(nearest(own, index, k + 2 ** row["power"], **limits))
         hits = hits.join(exclude, ["query_id", "item_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -356,7 +407,8 @@ def knn_join(vectors: DataFrame, k: int, **limits) -> DataFrame:
         hits = _search_blocks(groups, groups, k + 1, limits["block_rows"])
 
     by_id = Window.partitionBy("rep").orderBy("item_id")
-    fronts = members.withColumn("__n", F.row_number().over(by_id)).where(F.col("__n") <= k + 1)
+    # written, so that a vector that is near to many, or has many copies, can be split in the joins below
+    fronts = materialise(members.withColumn("__n", F.row_number().over(by_id)).where(F.col("__n") <= k + 1), "fronts")
     found = hits.join(fronts.select(F.col("rep").alias("item_id"), F.col("item_id").alias("dst")), "item_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "dst")
     lists = (
@@ -365,6 +417,7 @@ def knn_join(vectors: DataFrame, k: int, **limits) -> DataFrame:
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("__n", "dst", "score"))).alias("near"))
     )
+    lists = materialise(lists, "lists")
     others = F.slice(F.filter("near", lambda e: e["dst"] != F.col("src")), 1, k)
     return (
         members.withColumnRenamed("item_id", "src")

@@ -69,7 +69,7 @@ def test_modularity_of_two_cliques(spark):
     want = 2 * (3 / 7 - (7 / 14) ** 2)
     assert abs(graph.modularity(e, m).first()[0] - want) < 1e-12
     assert graph.modularity(e, m.withColumn("community", F.lit(1))).first()[0] == 0.0
-    found = communities.detect_communities(m.select("item_id"), e, CommunityConfig(max_rounds=6))
+    found = communities.detect_communities(m.select("item_id"), e, CommunityConfig())
     groups = {r.item_id: r.community for r in found.collect()}
     assert len(set(groups.values())) == 2 and len({groups[n] for n in "abc"}) == 1
 
@@ -91,3 +91,23 @@ def test_layout_keeps_neighbours(spark):
     before = quality.projection_quality(rows, start).first()
     assert after.trustworthiness >= before.trustworthiness
     assert placed.where("isnan(x) or isnan(y)").count() == 0 and placed.count() == 240
+
+
+def test_long_chains_of_moves_settle(spark):
+    """More rounds than the former limit of 12: a ring of cliques, whose merging takes its time."""
+    rows = [(f"n{c:02d}{i}", f"n{c:02d}{j}", 1.0) for c in range(24) for i in range(4) for j in range(i + 1, 4)]
+    rows += [(f"n{c:02d}0", f"n{(c + 1) % 24:02d}1", 1.0) for c in range(24)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{c:02d}{i}",) for c in range(24) for i in range(4)], "item_id string")
+    found = communities.detect_communities(nodes, edges)
+    got = communities.partition_quality(edges, found, CommunityConfig()).first()["modularity"]
+    cliques = nodes.selectExpr("item_id", "cast(substring(item_id, 2, 2) as long) as community")
+    assert got >= communities.partition_quality(edges, cliques, CommunityConfig()).first()["modularity"] - 0.02
+
+
+def test_a_safety_limit_is_an_error(spark):
+    rows = [(f"n{i:02d}", f"n{j:02d}", 1.0) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{i:02d}",) for i in range(12)], "item_id string")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        communities.detect_communities(nodes, edges, CommunityConfig(max_rounds=1))

@@ -42,9 +42,8 @@ class CommunityConfig:
     resolution: float = 1.0
     seed: int = 42
     use_weights: bool = True
-    max_rounds: int = 12
-    min_gain: float = 1e-4
-    max_levels: int = 12
+    max_rounds: int = 600  # safety limits: reaching one is an error
+    max_levels: int = 64
 
     def __post_init__(self):
         if self.resolution <= 0:

@@ -16,15 +16,16 @@ from vector_atlas.config import SYMMETRIZE_MODES
 from vector_atlas.functions import arrays
 from vector_atlas.operators.graph import connected_components, degree_stats, modularity, symmetrize_graph
 from vector_atlas.operators.indexing import random_pairs
-from vector_atlas.operators.neighbours import nearest
+from vector_atlas.operators.neighbours import knn_join, nearest, retrieve_top_k
 from vector_atlas.operators.profile import tag_counts
 from vector_atlas.operators.vectors import vector_matrix
 from vector_atlas.operators.cleaning import sample_key
+from vector_atlas.session import materialise
 
 PAIR_SAMPLE = 10_000
 SHEPARD_PAIRS = 5_000
-PROJECTION_SAMPLE = 5_000
-PROJECTION_LIMIT = 20_000  # a larger sample would no longer fit a broadcast
+RANK_BLOCK = 1024  # points per block when ranks are counted
+RANK_TILE = 8  # blocks of asking points that share the blocks sent to them
 SEED = 42
 
 
@@ -308,62 +309,110 @@ def semantic_quality(coherence: DataFrame) -> DataFrame:
 # --- projection ------------------------------------------------------------------------------
 
 
-def neighbourhood_preservation(points: DataFrame, k: int) -> DataFrame:
+def neighbourhood_preservation(points: DataFrame, k: int, block_rows: int = RANK_BLOCK) -> DataFrame:
     """One row ``trustworthiness, continuity, k, n_samples`` for ``points(item_id, embedding, x, y)``.
 
-    The sample is bounded (checked here), so it is broadcast; every task ranks the rows of its
-    share against the whole sample and emits two sums.
+    The k nearest items of both spaces come from the exact search. Only where they differ are ranks
+    needed: for item i and its neighbour j, how many items are nearer to i than j in the other space.
+    These are counted in blocks, each sent once to every tile of asking items, and only sums come out.
     """
-    table = points.select(
-        "item_id", F.col("embedding").cast("array<double>").alias("v"), F.array("x", "y").cast("array<double>").alias("p")
-    ).limit(PROJECTION_LIMIT + 1).toArrow()
-    n = table.num_rows
-    if n > PROJECTION_LIMIT:
-        raise ValueError(f"at most {PROJECTION_LIMIT} points can be ranked; lower subsample_n")
     spark = points.sparkSession
+    unit = arrays.scale_down("embedding", F.greatest(arrays.norm("embedding"), F.lit(arrays.ZERO_NORM)))
+    points = materialise(points.select(F.col("item_id").cast("string"), unit.alias("u"), F.array("x", "y").cast("array<double>").alias("p")), "points")
+    n = points.count()
     k_eval = max(1, min(k, n // 2 - 1))
     scale = float(n * k_eval * (2 * n - 3 * k_eval - 1))
     if n <= k or scale <= 0:
         row = [(0.0, 0.0, k if n <= k else k_eval, n)]
         return spark.createDataFrame(row, "trustworthiness double, continuity double, k int, n_samples int")
-    order = np.argsort(np.array(table.column("item_id").to_pylist()), kind="stable")
-    high = vector_matrix(table.column("v"))[order]
-    high = high / np.maximum(np.linalg.norm(high, axis=1, keepdims=True), arrays.ZERO_NORM)
-    low = vector_matrix(table.column("p"))[order]
-    shared = spark.sparkContext.broadcast((high, low))
-
-    def ranks(distance: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        distance[np.arange(len(rows)), rows] = -1.0  # itself first, at rank 0
-        by_distance = np.argsort(distance, axis=1, kind="stable")
-        place = np.empty_like(by_distance)
-        np.put_along_axis(place, by_distance, np.arange(distance.shape[1])[None, :], axis=1)
-        return place
-
-    def penalties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, l = shared.value
+    high = knn_join(points.select("item_id", F.col("u").alias("embedding")), k_eval).select(F.col("src").alias("i"), F.col("dst").alias("j"))
+    # the largest 2 q.x - |x|^2 belongs to the nearest point of the plane
+    x, y = F.col("p")[0], F.col("p")[1]
+    asked = points.select(F.col("item_id").alias("query_id"), F.array(x, y, F.lit(1.0)).alias("embedding"))
+    plane = points.select("item_id", F.array(2 * x, 2 * y, -(x * x + y * y)).alias("embedding"))
+    own = points.select(F.col("item_id").alias("query_id"), "item_id")
+    low = retrieve_top_k(asked, plane, k_eval, own).select(F.col("query_id").alias("i"), F.col("item_id").alias("j"))
+    high, low = materialise(high, "near-high"), materialise(low, "near-low")
+    wanted = low.join(high, ["i", "j"], "left_anti").withColumn("space", F.lit(0)).unionByName(
+        high.join(low, ["i", "j"], "left_anti").withColumn("space", F.lit(1))
+    )
+    flat = F.sqrt(F.pow(F.col("pi")[0] - F.col("pj")[0], 2) + F.pow(F.col("pi")[1] - F.col("pj")[1], 2))
+    bound = F.when(F.col("space") == 0, 1.0 - arrays.dot("ui", "uj")).otherwise(flat)
+    blocks = max(1, -(-n // block_rows))
+    tiles = max(1, -(-blocks // RANK_TILE))
+    asking = (
+        wanted.join(points.toDF("i", "ui", "pi"), "i").join(points.toDF("j", "uj", "pj"), "j")
+        .groupBy("i").agg(F.first("ui").alias("u"), F.first("pi").alias("p"), F.collect_list(F.struct("space", "j", bound.alias("bound"))).alias("asks"))
+        .select(F.pmod(F.xxhash64("i"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("kind"), F.array("i").alias("ids"), "u", "p", "asks")
+    )
+    packed = points.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list("item_id").alias("ids"), F.flatten(F.collect_list("u")).alias("u"), F.flatten(F.collect_list("p")).alias("p")
+    )
+    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("kind"), "ids", "u", "p", F.lit(None).cast(asking.schema["asks"].dataType).alias("asks"))
+    rows = asking.unionByName(sent).repartition("tile").sortWithinPartitions("tile", "kind")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, ready, total = None, [], None, [0, 0]
         for batch in batches:
-            everything = batch.column(0).to_numpy()
-            for s in range(0, len(everything), 256):
-                rows = everything[s : s + 256]
-                in_high = ranks(1.0 - h[rows] @ h.T, rows)
-                delta = l[rows][:, None, :] - l[None, :, :]
-                in_low = ranks(np.sqrt((delta**2).sum(axis=2)), rows)
-                near_high, near_low = (in_high >= 1) & (in_high <= k_eval), (in_low >= 1) & (in_low <= k_eval)
-                trust = (in_high - k_eval)[near_low & ~near_high].sum()
-                continuity = (in_low - k_eval)[near_high & ~near_low].sum()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([float(trust)]), pa.array([float(continuity)])], names=["t", "c"]
-                )
-
-    sums = spark.range(n).mapInArrow(penalties, "t double, c double").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+            for r in range(batch.num_rows):
+                if batch.column("tile")[r].as_py() != tile:
+                    tile, held, ready = batch.column("tile")[r].as_py(), [], None
+                ids = batch.column("ids")[r].as_py()
+                u, p = (np.asarray(batch.column(c)[r].values, dtype="float64") for c in ("u", "p"))
+                if batch.column("kind")[r].as_py() == 0:
+                    held.append((ids[0], u, p, batch.column("asks")[r].as_py()))
+                elif held:
+                    if ready is None:
+                        ready = _Asking(held)
+                    got = ready.nearer(np.array(ids, dtype=object), u.reshape(len(ids), -1), p.reshape(len(ids), 2))
+                    total = [a + b for a, b in zip(total, got)]
+        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()) for t in total], names=["t", "c"])
+
+    nearer = rows.mapInArrow(count, "t bigint, c bigint").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
+    # a rank is one more than the items before it; its excess over k is the penalty
+    asked = wanted.agg(F.coalesce(F.sum((F.col("space") == 0).cast("int")), F.lit(0)).alias("nt"), F.coalesce(F.sum("space"), F.lit(0)).alias("nc"))
+    sums = beside(nearer, asked)
+    penalty = {c: F.col(c) + F.col(f"n{c}") * (1 - k_eval) for c in "tc"}
     return sums.select(
-        (1.0 - F.lit(2.0 / scale) * F.col("t")).alias("trustworthiness"),
-        (1.0 - F.lit(2.0 / scale) * F.col("c")).alias("continuity"),
+        (1.0 - F.lit(2.0 / scale) * penalty["t"]).alias("trustworthiness"),
+        (1.0 - F.lit(2.0 / scale) * penalty["c"]).alias("continuity"),
         F.lit(k_eval).alias("k"),
         F.lit(n).alias("n_samples"),
     )
 
 
+class _Asking:
+    """Items of a tile with the neighbours whose ranks they ask for."""
+
+    def __init__(self, held):
+        self.ids = np.array([h[0] for h in held], dtype=object)
+        self.u, self.p = np.array([h[1] for h in held]), np.array([h[2] for h in held])
+        asks = [(r, a["space"], a["j"], a["bound"]) for r, h in enumerate(held) for a in h[3]]
+        self.row = np.array([a[0] for a in asks])
+        self.space = np.array([a[1] for a in asks])
+        self.j = np.array([a[2] for a in asks], dtype=object)
+        self.bound = np.array([a[3] for a in asks])
+
+    def nearer(self, ids, u, p) -> tuple[int, int]:
+        """Items of a block that come before the asked ones, by space; equal distances go by id."""
+        out = [0, 0]
+        for s in range(0, len(self.row), 2048):
+            row, space = self.row[s : s + 2048], self.space[s : s + 2048]
+            away = np.where(
+                (space == 0)[:, None], 1.0 - self.u[row] @ u.T,
+                np.sqrt(((self.p[row][:, None, :] - p[None, :, :]) ** 2).sum(axis=2)),
+            )
+            gap = away - self.bound[s : s + 2048, None]
+            tie = np.abs(gap) <= 1e-12
+            before = (gap < 0) & ~tie
+            at, to = np.nonzero(tie)
+            before[at, to] = ids[to].astype(str) < self.j[s : s + 2048][at].astype(str)
+            before &= self.ids[row][:, None] != ids[None, :]
+            for space_number in (0, 1):
+                out[space_number] += int(before[space == space_number].sum())
+        return out[0], out[1]
+
+
 def _average_rank(value: str):
     """Rank with ties averaged, over a table bounded by the number of drawn pairs."""
     return F.rank().over(Window.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
@@ -371,7 +420,8 @@ def _average_rank(value: str):
 
 def shepard_rho(points: DataFrame, n_pairs: int = SHEPARD_PAIRS, seed: int = SEED) -> DataFrame:
     """One row ``shepard_rho``: rank correlation of high and low distances over drawn pairs."""
-    pairs = F.broadcast(random_pairs(points, n_pairs, seed))
+    pairs = random_pairs(points, n_pairs, seed)
+    pairs = F.broadcast(pairs) if n_pairs <= 1_000_000 else pairs  # at most n_pairs rows
     unit = points.select(
         "item_id",
         arrays.scale_down("embedding", F.greatest(arrays.norm("embedding"), F.lit(arrays.ZERO_NORM))).alias("u"),
@@ -392,10 +442,13 @@ def projection_quality(
     vectors: DataFrame,
     coords: DataFrame,
     k: int = 15,
-    subsample_n: int | None = PROJECTION_SAMPLE,
+    subsample_n: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row: trustworthiness, continuity, rank correlation, neighbours used, items scored."""
+    """One row: trustworthiness, continuity, rank correlation, neighbours used, items scored.
+
+    All items are scored unless ``subsample_n`` asks for a sample.
+    """
     if k <= 0:
         raise ValueError(f"k must be positive, got {k}")
     points = vectors.select("item_id", "embedding").join(coords.select("item_id", "x", "y"), "item_id")

@@ -16,7 +16,7 @@ from vector_atlas.operators import (
 )
 from vector_atlas.plans import cluster_space as clustering
 from vector_atlas.plans import evaluate, preprocess, recommend
-from vector_atlas.schemas import TABLE_COLUMNS
+from vector_atlas.schemas import TABLE_COLUMNS, require_columns
 from vector_atlas.session import materialise, scratch_path
 from vector_atlas.sources import catalogue, files, stores, tables
 
@@ -408,7 +408,27 @@ def _(spark, d):
     return names.normalize_name(_titles(Tables(spark, d).part), "raw", "norm").select("p_partkey", "norm")
 
 
-@bind("token_set_ratio")
+# the subsequence length is a reduction over one row of the table per character of the second name
+_TOKEN_SET_SQL = """with raw as (select p_name || ' ' || p_brand left_name, p_brand || ' ' || p_type || ' ' || p_name right_name from part),
+  pairs as (select distinct left_name, right_name from raw),
+  plain as (select *, trim(regexp_replace(lower(left_name), '[^a-z0-9_]+', ' ', 'g')) l, trim(regexp_replace(lower(right_name), '[^a-z0-9_]+', ' ', 'g')) r from pairs),
+  tokens as (select *, list_distinct(string_split(l, ' ')) a, list_distinct(string_split(r, ' ')) b from plain),
+  parts as (select *, array_to_string(list_sort(list_filter(a, lambda x: list_contains(b, x))), ' ') both_,
+    array_to_string(list_sort(list_filter(a, lambda x: not list_contains(b, x))), ' ') ra,
+    array_to_string(list_sort(list_filter(b, lambda x: not list_contains(a, x))), ' ') rb from tokens),
+  texts as (select *, case when both_ = '' then '' else ' ' end glue from parts),
+  whole as (select *, both_ || glue || ra x, both_ || glue || rb y, both_ <> '' and (ra = '' or rb = '') contained from texts),
+  tables as (select *, list_transform(string_split(y, ''), lambda ch: list_transform(string_split(x, ''), lambda c: case when c = ch then 1 else 0 end)) eq from whole),
+  counted as (select *, list_reduce(list_prepend(list_transform(string_split(x, ''), lambda c: 0), eq), lambda row, e:
+    list_transform(range(1, len(e) + 1), lambda i: list_max(list_transform(range(1, i + 1),
+      lambda j: greatest(row[j], case when j = 1 then 0 else row[j - 1] end + e[j]))))) last from tables),
+  scored as (select *, 200.0 * list_max(last) / (length(x) + length(y)) edit,
+    case when both_ = '' then 0.0 else 200.0 * length(both_) / (2.0 * length(both_) + length(ra) + length(glue)) end more_a,
+    case when both_ = '' then 0.0 else 200.0 * length(both_) / (2.0 * length(both_) + length(rb) + length(glue)) end more_b from counted)
+  select left_name, right_name, round(case when l = '' or r = '' then 0.0 when contained then 100.0 else greatest(edit, more_a, more_b) end, 4) ratio from scored"""
+
+
+@bind("token_set_ratio", _TOKEN_SET_SQL)
 def _(spark, d):
     """Distinct titles of parts against the brand and type of the same part."""
     pairs = Tables(spark, d).part.select(
@@ -601,10 +621,11 @@ def _(spark, d):
     return joins.join_one_to_one(left, right, "s_suppkey")
 
 
-@bind("pending_ids", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@bind("pending_ids", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def _(spark, d):
+    """Customers without an urgent order are still to be done."""
     t = Tables(spark, d)
-    done = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    done = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return joins.pending_ids(t.customer.select("c_custkey", "c_name"), done, "c_custkey")
 
 
@@ -815,7 +836,7 @@ def _profile_sql(table, columns):
 _LINEITEM = [
     ("l_orderkey", "bigint", 1), ("l_partkey", "bigint", 1), ("l_suppkey", "bigint", 1), ("l_linenumber", "int", 1),
     ("l_quantity", "double", 1), ("l_extendedprice", "double", 1), ("l_discount", "double", 1), ("l_tax", "double", 1),
-    ("l_returnflag", "string", 0), ("l_linestatus", "string", 0),
+    ("l_returnflag", "string", 0), ("l_linestatus", "string", 0), ("l_shipdate", "timestamp_ntz", 0),
 ]
 
 
@@ -866,6 +887,16 @@ def _(spark, d):
     return found.select("query_id", "item_id", *r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@bind("retrieve_top_k_blocks", "select src query_id, dst item_id, round(score, 6) score, rank from knn10", using="knn10")
+def _(spark, d):
+    """The same search when neither side may be broadcast."""
+    unit = Tables(spark, d).unit()
+    queries = unit.withColumnRenamed("item_id", "query_id")
+    own = queries.select("query_id", F.col("query_id").alias("item_id"))
+    found = neighbours.retrieve_top_k(queries, unit, 10, own, side_rows=50, block_rows=128)
+    return found.select("query_id", "item_id", *r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @bind("similarity_results", "select src query_id, dst item_id, rank, round(score, 4) fit, '' reason from knn3", using="knn3")
 def _(spark, d):
     unit = Tables(spark, d).unit()
@@ -962,11 +993,11 @@ def _(spark, d):
 
 @bind(
     "miss_sample",
-    "select c_custkey from customer where c_custkey not in (select o_custkey from orders) order by 1 limit 10",
+    "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT') order by 1 limit 10",
 )
 def _(spark, d):
     t = Tables(spark, d)
-    done = t.orders.select(F.col("o_custkey").alias("c_custkey"))
+    done = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return profile.miss_sample(joins.pending_ids(t.customer.select("c_custkey"), done, "c_custkey"), "c_custkey")
 
 
@@ -984,6 +1015,37 @@ def _(spark, d):
     return communities.detect_communities(t.vectors().select("item_id"), materialise(_graph10(t), "edges"), CommunityConfig())
 
 
+@bind(
+    "community_facts",
+    _MODULARITY.format(graph="graph10") + """ select item_id, cast(1 as bigint) pieces, true at_least_labels from vectors""",
+    using="vectors graph10 membership",
+)
+def _(spark, d):
+    """What SQL can state of the communities: every item has one, each is one connected piece, and
+    their modularity is not below that of the given labels."""
+    t = Tables(spark, d)
+    edges = materialise(_graph10(t), "edges")
+    found = materialise(communities.detect_communities(t.vectors().select("item_id"), edges, CommunityConfig()), "found")
+    pieces = communities.split_disconnected(found, edges).join(found, "item_id").groupBy("community").agg(F.countDistinct("name").alias("pieces"))
+    reached = graph.modularity(edges, found).first()["modularity"]
+    given = graph.modularity(edges, t.membership()).first()["modularity"]
+    return found.join(pieces, "community").select("item_id", "pieces", F.lit(bool(reached >= given)).alias("at_least_labels"))
+
+
+@bind("layout_facts", "select item_id, true finite, true keeps_neighbours from vectors", using="vectors")
+def _(spark, d):
+    """Every item has finite coordinates, and neighbourhoods are kept no worse than by the principal plane."""
+    t = Tables(spark, d)
+    placed = materialise(layout.layout_2d(t.vectors(), LayoutConfig()), "layout")
+    start = layout.principal_coords(t.vectors())
+    kept, was = (
+        quality.neighbourhood_preservation(t.vectors().join(c.select("item_id", "x", "y"), "item_id"), 15).first()["trustworthiness"]
+        for c in (placed, start)
+    )
+    finite = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    return placed.select("item_id", finite.alias("finite"), F.lit(bool(kept >= was - 1e-9)).alias("keeps_neighbours"))
+
+
 @bind("layout_2d")
 def _(spark, d):
     return layout.layout_2d(Tables(spark, d).vectors(), LayoutConfig())
@@ -1515,3 +1577,17 @@ def _(spark, d):
     av = t.tracks().select("song_id", "arousal", "valence")
     kept, _ = preprocess.prepare_tracks(metadata, av, t.audio_files(), FilterConfig(), TAXONOMY, EXCLUDED)
     return kept.select("song_id", "quadrant", "artist", "title", "mood", "mood_all", "genre", "genre_main", "theme", "style")
+
+
+@bind("require_columns", "select c_custkey, c_name, c_acctbal from customer")
+def _(spark, d):
+    """A table passes the check for columns it has and is read; one that it lacks stops the query."""
+    rows = Tables(spark, d).customer
+    wanted = ["c_custkey", "c_name", "c_acctbal"]
+    require_columns(rows, wanted, "customer")
+    try:
+        require_columns(rows, [*wanted, "c_region"], "customer")
+    except ValueError as missing:
+        if "c_region" in str(missing):
+            return rows.select(*wanted)
+    raise RuntimeError("an absent column was not noticed")

@@ -1,5 +1,6 @@
 """Round trips, merges, listings, nested JSON and incremental runs."""
 
+import pytest
 import hashlib
 import json
 import math
@@ -19,7 +20,7 @@ def test_csv_round_trip_with_quotes(spark, tmp_path):
     rows = spark.createDataFrame([tuple(values)], ", ".join(f"{n} string" for n in names))
     shuffled = rows.select(*reversed(names), F.lit("x").alias("Extra"))
     shuffled.write.csv(str(tmp_path / "m"), header=True, escape='"', quote='"')
-    assert list(tables.scan_metadata(spark, str(tmp_path / "m")).first()) == values
+    assert list(tables.scan_metadata(spark, str(tmp_path / "m"), multi_line=True).first()) == values
 
 
 def test_metrics_replace_only_their_section(spark, tmp_path):
@@ -95,3 +96,15 @@ def test_incremental_runs_merge_new_rows(spark, tmp_path):
 
     assert arrive([("a", 1.0)]) == [("a", 10.0)]
     assert arrive([("a", 7.0), ("b", 2.0)]) == [("a", 10.0), ("b", 20.0)]
+
+
+def test_csv_files_with_columns_in_other_orders(spark, tmp_path):
+    from vector_atlas.sources import tables
+
+    (tmp_path / "a.csv").write_text('Song,Arousal,Valence\ns1,0.1,0.2\n"s,2",0.3,\n')
+    (tmp_path / "b.csv").write_text("﻿Valence,Extra,Song,Arousal\n0.5,x,s3,0.4\n")
+    got = sorted(tuple(r) for r in tables.scan_av(spark, str(tmp_path)).select("song_id", "arousal", "valence").collect())
+    assert got == [("s,2", 0.3, None), ("s1", 0.1, 0.2), ("s3", 0.4, 0.5)]
+    (tmp_path / "c.csv").write_text("Song,Valence\ns4,1\n")
+    with pytest.raises(ValueError, match="Arousal"):
+        tables.scan_av(spark, str(tmp_path))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,29 +12,41 @@ from pyspark.sql import types as T
 from vector_atlas import schemas
 from vector_atlas.functions.tags import split_tags
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"'}
+
 
+def _files_by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """Column names and the files that have them, in that order; one entry per distinct header."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    first = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [(next(csv.reader([row["header"].removeprefix("\ufeff")]), []), row["files"]) for row in found]
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV source, without reading its rows."""
-    return spark.read.options(**CSV_OPTIONS, inferSchema=False).csv(path).columns
 
+def _read_csv(spark: SparkSession, path: str, types: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV by header name: columns may come in any order, other in each file; extra ones are ignored.
 
-def _read_csv(spark: SparkSession, path: str, types: T.StructType) -> DataFrame:
-    """CSV by header name: columns may come in any order, extra ones are ignored."""
-    header = _csv_header(spark, path)
-    missing = sorted(set(types.fieldNames()) - set(header))
-    if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
+    Files are split between tasks unless ``multi_line`` says that quoted values hold line breaks.
+    """
     by_name = {f.name: f.dataType for f in types.fields}
-    layout = T.StructType([T.StructField(c, by_name.get(c, T.StringType())) for c in header])
-    table = spark.read.schema(layout).options(**CSV_OPTIONS).csv(path)
-    return table.select(*types.fieldNames())
+    tables = []
+    for header, files in _files_by_header(spark, path):
+        missing = sorted(set(types.fieldNames()) - set(header))
+        if missing:
+            raise ValueError(f"{files[0]}: missing columns {missing}")
+        layout = T.StructType([T.StructField(c, by_name.get(c, T.StringType())) for c in header])
+        table = spark.read.schema(layout).options(**CSV_OPTIONS, multiLine=multi_line).csv(files)
+        tables.append(table.select(*types.fieldNames()))
+    if not tables:
+        raise ValueError(f"{path}: missing columns {sorted(by_name)}")
+    return reduce(DataFrame.unionByName, tables)
 
 
-def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
+def scan_metadata(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Raw metadata with every column as text, under the engine's names."""
-    table = _read_csv(spark, path, schemas.METADATA_SCHEMA)
+    table = _read_csv(spark, path, schemas.METADATA_SCHEMA, multi_line)
     return table.select(*[F.col(s).alias(t) for s, t in schemas.METADATA_COLUMNS.items()])
 
 
@@ -41,15 +56,19 @@ def scan_av(spark: SparkSession, path: str) -> DataFrame:
     return table.select(*[F.col(s).alias(t) for s, t in schemas.AV_COLUMNS.items()])
 
 
-def read_tracks(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_tracks(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False) -> DataFrame:
     """Processed table with typed columns and a text id."""
     if fmt == "csv":
-        header = _csv_header(spark, path)
-        if "song_id" not in header:
-            raise ValueError("tracks table has no song_id column")
         by_name = {f.name: f.dataType for f in schemas.TRACKS_SCHEMA.fields}
-        layout = T.StructType([T.StructField(c, by_name.get(c, T.StringType())) for c in header])
-        return spark.read.schema(layout).options(**CSV_OPTIONS).csv(path)
+        parts = []
+        for header, files in _files_by_header(spark, path):
+            if "song_id" not in header:
+                raise ValueError("tracks table has no song_id column")
+            layout = T.StructType([T.StructField(c, by_name.get(c, T.StringType())) for c in header])
+            parts.append(spark.read.schema(layout).options(**CSV_OPTIONS, multiLine=multi_line).csv(files))
+        if not parts:
+            raise ValueError("tracks table has no song_id column")
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     table = spark.read.format(fmt).load(path)
     schemas.require_columns(table, ["song_id"], "tracks table")
     by_name = {f.name: f.dataType for f in schemas.TRACKS_SCHEMA.fields}

@@ -108,3 +108,14 @@ def test_csv_files_with_columns_in_other_orders(spark, tmp_path):
     (tmp_path / "c.csv").write_text("Song,Valence\ns4,1\n")
     with pytest.raises(ValueError, match="Arousal"):
         tables.scan_av(spark, str(tmp_path))
+
+
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    stores.swap_in(spark.range(3), path)
+    stores.swap_in(spark.read.parquet(path).where("id > 0"), path)
+    broken = spark.read.parquet(path).selectExpr("id", "if(id = 2, raise_error('lost'), 1) as x")
+    with pytest.raises(Exception, match="lost"):
+        stores.swap_in(broken, path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
+    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vector_atlas import schemas
-from vector_atlas.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -100,15 +101,25 @@ def upsert_metrics(existing: DataFrame | None, section: DataFrame) -> DataFrame:
 
 
 def swap_in(df: DataFrame, path: str) -> str:
-    """Overwrite ``path`` with a result that was computed from it.
+    """Replace the table at ``path`` by a result that was computed from it.
 
-    Spark cannot overwrite what it reads, so the rows go to a new folder first and are then
-    written over the old ones from there.
+    The rows are written once, into a folder beside the table. Only when that has succeeded are the
+    folders renamed, so a failing write leaves the old table as it was; a crash between the two
+    renames leaves it under ``<path>.old-…``.
     """
     spark = df.sparkSession
-    staged = scratch_path(spark, "swap")
+    mark = uuid.uuid4().hex
+    staged, retired = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
     df.write.parquet(staged)
-    spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(folder(path))
+    if had and not fs.rename(folder(path), folder(retired)):
+        raise OSError(f"{path} cannot be replaced; the new rows are in {staged}")
+    if not fs.rename(folder(staged), folder(path)):
+        raise OSError(f"{staged} cannot be renamed; the old rows are in {retired}")
+    if had:
+        fs.delete(folder(retired), True)
     return path
 
 

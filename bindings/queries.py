@@ -1537,6 +1537,26 @@ def _(spark, d):
     return _shown(recommend.recommend_by_vector(queries, _corpus(t, True), 5).recommendations)
 
 
+@bind(
+    "recommend_by_text",
+    """, words as (select p_name request_id, unnest(string_split(p_name, ' ')) w from (select distinct p_name from part)),
+    slots as (select request_id, cast('0x' || substr(md5(w), 1, 8) as bigint) % 64 slot, case when substr(md5(w), 9, 1) < '8' then 1.0 else -1.0 end s from words),
+    raw as (select request_id, list_transform(range(0, 64), lambda i: coalesce(list_sum(list_transform(list_filter(g, lambda x: x.slot = i), lambda x: x.s)), 0.0)) e
+      from (select request_id, list({'slot': slot, 's': cast(s as double)}) g from slots group by 1)),
+    moved as (select request_id, list_transform(e, lambda x, i: x - m.mean[i]) c from raw, mean_row m),
+    asked as (select request_id, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) u from moved),
+    hits as (select q.request_id, x.item_id, round(list_inner_product(q.u, x.u), 4) fit, row_number() over (partition by q.request_id
+      order by round(list_inner_product(q.u, x.u), 12) desc, x.item_id) position from asked q, centred x) """
+    + _SHOWN.format(rows="hits") + " where r.position <= 5",
+    using="centred mean_row tracks membership labels3",
+)
+def _(spark, d):
+    """Names of parts as requests in words."""
+    t = Tables(spark, d)
+    queries = t.part.select(F.col("p_name").alias("request_id"), F.col("p_name").alias("text")).distinct()
+    return _shown(recommend.recommend_by_text(queries, lambda: vectors.HashingEncoder(64), _corpus(t, True), 5).recommendations)
+
+
 @bind(
     "recommend_by_item",
     """, one as (select cast(p.p_partkey as varchar) request_id, b.id, c.corpus_id, q.u from part p join catalogue_best b on b.artist = p.p_brand and b.title = p.p_name

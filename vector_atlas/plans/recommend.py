@@ -20,7 +20,7 @@ from vector_atlas.operators.joins import corpus_match_exact
 from vector_atlas.operators.linking import catalogue_search_key, match_names, name_key
 from vector_atlas.operators.neighbours import retrieve_top_k
 from vector_atlas.operators.ranking import fit_floor, positioned, rank_items, retrieve_pool
-from vector_atlas.operators.vectors import prepare_query
+from vector_atlas.operators.vectors import Encoder, encode_items, prepare_query
 from vector_atlas.session import materialise
 
 EVIDENCE_TAGS = ("style", "mood", "theme")
@@ -282,6 +282,18 @@ def recommend_by_vector(queries: DataFrame, corpus: Corpus, n: int = 10, rank: b
     return Recommended(_single(hits, corpus, n, rank, **ranking), _counts(pool))
 
 
+def recommend_by_text(queries: DataFrame, encoder: Callable[[], Encoder], corpus: Corpus, n: int = 10, rank: bool = False, **options) -> Recommended:
+    """Requests in words: ``queries(request_id, text)`` are encoded, then searched like vectors.
+
+    Requests that the encoder rejects get no rows; fails when it rejects all of them.
+    """
+    encoded = encode_items(queries.select(F.col("request_id").alias("item_id"), F.col("text").alias("content")), encoder, "text")
+    encoded = materialise(encoded.where(F.col("error").isNull()), "encoded-requests")
+    if encoded.isEmpty():
+        raise ValueError("no request could be encoded")
+    return recommend_by_vector(encoded.select(F.col("item_id").alias("request_id"), "embedding"), corpus, n, rank, **options)
+
+
 def recommend_by_item(seeds: DataFrame, candidates: DataFrame, vectors: DataFrame, corpus: Corpus, n: int = 10, rank: bool = False, **ranking) -> Recommended:
     """One seed per request: matched, embedded, searched without its own corpus item.
 
@@ -294,7 +306,9 @@ def recommend_by_item(seeds: DataFrame, candidates: DataFrame, vectors: DataFram
     exclude = embedded.where(F.col("corpus_id").isNotNull()).select(
         F.col("request_id").alias("query_id"), F.col("corpus_id").alias("item_id")
     )
-    hits = retrieve_top_k(queries, corpus.vectors, n, exclude)
+    hits = materialise(retrieve_top_k(queries, corpus.vectors, n, exclude), "hits")
+    if hits.join(corpus.tracks, hits["item_id"] == corpus.tracks["song_id"], "left_semi").isEmpty():
+        raise ValueError("no candidates")
     pool = hits.select(F.col("query_id").alias("request_id"), "item_id")
     return Recommended(_single(hits, corpus, n, rank, **ranking), _counts(pool), resolved)
 
@@ -325,5 +339,7 @@ def recommend_playlist(
     _require(resolved, embedded)
     pool = retrieve_pool(embedded, corpus.vectors, config)
     evidence = materialise(build_evidence(pool, corpus.tracks), "evidence")
+    if evidence.isEmpty():
+        raise ValueError("no candidates")
     ranked = rerank(evidence, n, playlist=config, **ranking)
     return Recommended(recommendations(ranked, corpus, min(n, config.max_seeds)), _counts(evidence), resolved)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts go to Python workers in batches of so many rows, unless the session sets a number of its own;
-#: Spark's default of 10,000 documents keeps several tens of MB per batch on both sides.
-BATCH_CONF, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Rows go to Python workers in smaller batches than Spark's defaults (10,000 rows, 64 MB), unless the
+#: session sets sizes of its own: a batch of documents is held on both sides while it is worked on.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m"),
+}
 
 #: A side is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 1_000_000
@@ -22,8 +25,9 @@ def sized(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
 def map_batches(df: DataFrame, schema: str, start, step) -> DataFrame:
     """``step(state, batch)`` yields record batches for each input batch; ``start()`` makes the state of a task."""
     conf = df.sparkSession.conf
-    if conf.get(BATCH_CONF) == DEFAULT_ROWS:
-        conf.set(BATCH_CONF, BATCH_ROWS)
+    for key, (default, size) in BATCHES.items():
+        if conf.get(key) == default:
+            conf.set(key, size)
 
     def run(batches):
         state = start()

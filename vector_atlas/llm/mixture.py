@@ -95,7 +95,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     rows = weighed(docs, id_col, text_col, source_col, seed, quality)
     narrow = materialise(rows.select("__s", "__id", "size", "__key"), "weighed")
-    cuts = materialise(plan(narrow, weights, cap), "mixture")
+    return mix_weighed(rows, narrow, weights, cap)
+
+
+def mix_weighed(rows: DataFrame, narrow: DataFrame | None = None, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``mix`` for rows that ``weighed`` has made; ``narrow`` is a written copy of its own columns, if
+    ``rows`` itself is not a written table."""
+    cuts = materialise(plan(rows if narrow is None else narrow, weights, cap), "mixture")
     return rows.join(sized(cuts), "__s").withColumn("copies", _copies()).drop("__s", "__key", "__id", "epochs", "cut_key", "cut_id", "inside", "bucket")
 
 

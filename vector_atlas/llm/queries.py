@@ -135,9 +135,11 @@ select doc_id, cast(size as bigint) size, source_size, target,
 
 @bind("op4_weighted_mixture", _MIX_SQL)
 def _(spark, d):
-    from vector_atlas.llm.mixture import mix
+    from vector_atlas.llm.mixture import mix_weighed, weighed
+    from vector_atlas.session import materialise
 
-    mixed = mix(table(spark, d, "documents").select("doc_id", "text", "source"))
+    rows = weighed(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source", seed=23)
+    mixed = mix_weighed(materialise(rows.drop("text"), "weighed"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

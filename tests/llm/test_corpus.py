@@ -372,6 +372,34 @@ def test_templates_reject_what_resembles_blocked_paths(spark):
     assert [r[0] for r in found] == ["/tag/*"]
 
 
+def test_templates_do_not_depend_on_the_number_of_siblings(spark):
+    for siblings in (47, 48, 400):
+        # 10,000 urls of one host: 300 allowed, 150 blocked, the rest without labels
+        rows = [("h.com", "/fr/a", 300, 0, 300), ("h.com", "/de/a", 150, 150, 150)]
+        rows += [("h.com", f"/s{chr(97 + i % 26)}{chr(97 + i // 26)}/a", 9550 // siblings, 0, 0) for i in range(siblings + 1)]
+        shapes = spark.createDataFrame(rows, "host string, shape string, n bigint, blocked bigint, labelled bigint")
+        got = {r["shape"]: r for r in url_templates.template_rates(shapes).collect()}
+        assert got["/de/a"]["template"] == "/de/a" and got["/de/a"]["rate"] > 0.9
+        assert got["/saa/a"]["template"] == "/*/a" and got["/saa/a"]["rate"] < 0.4
+
+
+def test_templates_tell_deep_paths_apart(spark):
+    deep = "/a/b/c/d/e/f/g"
+    rows = [("h.com", f"{deep}/{kind}/{x}", 10, 10 * bad, 10) for kind, bad in (("good", 0), ("bad", 1)) for x in ("p", "q", "r")]
+    rows += [("one.com", "/" + "/".join("abcdefghijkl"), 3, 0, 3), ("one.com", "/", 1, 0, 0), ("none.com", "", 1, 0, 0)]
+    shapes = spark.createDataFrame(rows, "host string, shape string, n bigint, blocked bigint, labelled bigint")
+    got = {(r["host"], r["shape"]): (r["template"], r["rate"]) for r in url_templates.template_rates(shapes).collect()}
+    assert len(got) == len(rows)
+    assert got["h.com", f"{deep}/bad/p"][0] == f"{deep}/bad/*" and got["h.com", f"{deep}/bad/p"][1] > 0.8
+    assert got["h.com", f"{deep}/good/p"][0] == f"{deep}/good/*" and got["h.com", f"{deep}/good/p"][1] < 0.2
+    template, rate = got["one.com", "/a/b/c/d/e/f/g/h/i/j/k/l"]
+    by_hand = (4 * (30 + 1) / (63 + 2)) / (3 + 4)  # the host's rate, then one smoothing per segment
+    for _ in range(12):
+        by_hand = 4 * by_hand / (3 + 4)
+    assert template == "/a/b/c/d/e/f/g/h/i/j/k/l" and math.isclose(rate, by_hand)
+    assert got["one.com", "/"][0] == got["none.com", ""][0] == ""
+
+
 # --- conversations --------------------------------------------------------------------------------
 
 

@@ -3,15 +3,18 @@
 Paths are reduced to shapes first (runs of digits and long hexadecimal runs become wildcards), so the
 tree is built over distinct (host, shape) with counts. Then, level by level, the children of a node
 that look like the others of the node are merged: a child stays a literal only if its share of blocked
-labels or of paths that end there differs significantly from the pool of its siblings; in nodes with
-very many children, small ones are merged anyhow. Each template's blocked share is smoothed towards
-its parent's, up to the host's and the corpus's; templates above the threshold are rejected.
+labels or of paths that end there differs significantly from the pool of its siblings (chi-square with
+the correction for small counts), however many there are. Levels go on until all segments are used up;
+a shape that is alone in its node is finished there in closed form. Each template's blocked share is
+smoothed towards its parent's, up to the host's and the corpus's; templates above the threshold are
+rejected.
 Labels come from the rules, wherever one fits.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +31,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class TreeConfig:
-    depth: int = 6  # segments that the tree tells apart; what follows is one tail
-    children: int = 50  # above so many, children under `share` of their node are merged
-    share: float = 0.02
     critical: float = 3.84  # chi-square of one degree of freedom at 5 %
     smoothing: float = 4.0
     threshold: float = 0.5
@@ -72,31 +72,45 @@ def template_rates(shapes: DataFrame, cfg: TreeConfig = TreeConfig()) -> DataFra
 
     hosts = materialise(state.groupBy("host").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")), "hosts")
     state = state.join(hosts.select("host", smoothed(F.lit(base)).alias("rate")), "host").withColumn("prefix", F.lit(""))
-    for level in range(min(cfg.depth, top["d"] or 0)):
-        state = materialise(state.withColumn("segment", F.get("segments", F.lit(level))), "level")
+    done = []
+    for level in range(top["d"] or 0):
+        # shapes that go on at this level; the others keep what they have
+        left = F.size("segments") - level
+        nodes = materialise(state.groupBy("host", "prefix").agg((F.count_if(left > 0) == 1).alias("alone")), "nodes")
+        state = materialise(state.join(nodes, ["host", "prefix"]), "level")
+        rest = F.array_join(F.slice("segments", level + 1, F.greatest(left, F.lit(0))), "/")
+        shrink = F.pow(cfg.smoothing / (F.col("labelled") + cfg.smoothing), left)
+        own = F.col("blocked") / F.col("labelled")
+        alone_rate = F.when(F.col("labelled") == 0, F.col("rate")).otherwise(own + (F.col("rate") - own) * shrink)
+        done.append(state.where(left <= 0).select("host", "shape", F.col("prefix").alias("template"), "rate"))
+        done.append(state.where((left > 0) & F.col("alone")).select("host", "shape", F.concat("prefix", F.lit("/"), rest).alias("template"), alone_rate.alias("rate")))
+        state = state.where((left > 0) & ~F.col("alone")).drop("alone").withColumn("segment", F.get("segments", F.lit(level)))
         ends = F.sum(F.when(F.size("segments") == level + 1, F.col("n")).otherwise(0))
-        kids = state.where("segment is not null").groupBy("host", "prefix", "segment").agg(
+        kids = state.groupBy("host", "prefix", "segment").agg(
             F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), ends.alias("ends"), F.first("rate").alias("rate"))
         kids = materialise(kids, "children")
         pool = materialise(kids.groupBy("host", "prefix").agg(
             F.count("*").alias("p_kids"), *[F.sum(c).alias("p_" + c) for c in ("n", "blocked", "labelled", "ends")]), "pools")
+        if not pool.limit(1).count():
+            state = state.drop("segment")
+            break
 
         def differs(part, whole):
             p = F.try_divide(F.col("p_" + part), F.col("p_" + whole))
             expected, spread = F.col(whole) * p, F.col(whole) * p * (1 - p)
-            return F.coalesce((F.col(part) - expected) * (F.col(part) - expected) > cfg.critical * spread, F.lit(False)) & (F.coalesce(spread, F.lit(0)) > 0)
+            off = F.greatest(F.abs(F.col(part) - expected) - 0.5, F.lit(0.0))
+            return F.coalesce(off * off > cfg.critical * spread, F.lit(False)) & (F.coalesce(spread, F.lit(0)) > 0)
 
-        rare = (F.col("p_kids") > cfg.children) & (F.col("n") < cfg.share * F.col("p_n"))
         alike = ~differs("blocked", "labelled") & ~differs("ends", "n")
-        name = F.when((F.col("p_kids") > 1) & (alike | rare), "*").otherwise(F.col("segment"))
+        name = F.when((F.col("p_kids") > 1) & alike, "*").otherwise(F.col("segment"))
         named = kids.join(pool, ["host", "prefix"]).select(*kids.columns, F.concat("prefix", F.lit("/"), name).alias("node"))
         rates = named.groupBy("host", "node").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.first("rate").alias("parent"))
         rates = materialise(rates.select("host", "node", smoothed(F.col("parent")).alias("node_rate")), "rates")
         names = materialise(named.select("host", "prefix", "segment", "node").join(rates, ["host", "node"]), "names")
-        state = state.join(names, ["host", "prefix", "segment"], "left").withColumns(
-            {"prefix": F.coalesce("node", "prefix"), "rate": F.coalesce("node_rate", "rate")}).drop("node", "node_rate", "segment")
-    tail = F.when(F.size("segments") > cfg.depth, F.lit("/**")).otherwise("")
-    return state.select("host", "shape", F.concat("prefix", tail).alias("template"), "rate")
+        state = state.join(names, ["host", "prefix", "segment"]).withColumns(
+            {"prefix": F.col("node"), "rate": F.col("node_rate")}).drop("node", "node_rate", "segment")
+    done.append(state.select("host", "shape", F.col("prefix").alias("template"), "rate"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, cfg: TreeConfig = TreeConfig()) -> DataFrame:

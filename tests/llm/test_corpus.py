@@ -110,6 +110,14 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 299: 299, 300: 299}
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    ids = list(range(2000))
+    random.Random(22).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])) + [(5000, 5000)], "src bigint, dst bigint")
+    got = dict(components.settle(links).collect())
+    assert got == {**{i: 0 for i in range(2000)}, 5000: 5000}
+
+
 # --- shards ---------------------------------------------------------------------------------------
 
 

@@ -5,26 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vector_atlas.session import materialise
+from vector_atlas.operators.graph import connected_components
 
 
-def settle(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def settle(links: DataFrame) -> DataFrame:
     """``item_id, component`` of all ends of ``links`` (``src, dst``): the smallest id of each component.
 
-    Every round gives each node the smallest label among its neighbours and then the label of that
-    label, so labels travel twice as far each time. Minima are formed on the map side, and labels are
-    written tables with one row per node, so a hub's links can be split between tasks.
+    Links are contracted by alternating stars, so a chain is about halved each round and the rounds grow
+    with the logarithm of its length, in whatever order its ids stand.
     """
-    ends = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))
-    both = materialise(links.select(ends.alias("e")).select("e.a", "e.b"), "links")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        # where a neighbour's label is smaller than one's own
-        near = both.join(labels.toDF("b", "near"), "b").groupBy("a").agg(F.min("near").alias("near"))
-        moved = labels.join(near, "a").select("a", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        far = moved.join(labels.toDF("label", "far"), "label", "left")
-        new = materialise(far.select("a", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = new.select("a", "label")
-        if not new.where("label != was").limit(1).count():
-            return labels.toDF("item_id", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("item_id")).distinct()
+    return connected_components(nodes, links.select("src", "dst"))

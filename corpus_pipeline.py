@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vector_atlas.llm.decontaminate import decontaminate
 from vector_atlas.llm.knn_quality import held_out, score
-from vector_atlas.llm.minmax import near_duplicates
+from vector_atlas.llm.minmax import MinMaxConfig, near_duplicates
 from vector_atlas.llm.mixture import mix, repeat
 from vector_atlas.llm.shards import shard_rows
 from vector_atlas.llm.tables import sized
@@ -19,6 +19,8 @@ from vector_atlas.session import materialise
 
 KEY = "__document"
 SHARDS = 16
+#: Documents are near-duplicates from this similarity of their shingle sets on; op10 has its own contract.
+NEAR_PERCENT = 80
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, also of rows that repeat an id."""
     keyed = _keyed(docs)
-    found = near_duplicates(keyed, KEY, "text")
+    found = near_duplicates(keyed, KEY, "text", MinMaxConfig(percent=NEAR_PERCENT))
     kept = _without(keyed, found.where(~F.col("kept")).select(KEY))
     again = materialise(keyed.groupBy(KEY).count().where("count > 1").select(KEY), "repeated")
     if again.limit(1).count():

@@ -56,7 +56,7 @@ def test_words_and_shingles_equal_regular_expressions():
 # --- near-duplicates ------------------------------------------------------------------------------
 
 
-def near_by_hand(rows):
+def near_by_hand(rows, percent=85):
     sets = {}
     for i, t, *_ in rows:
         w = SPACE.findall(lower(t))
@@ -71,7 +71,7 @@ def near_by_hand(rows):
     ids = sorted(sets)
     for x in ids:
         for y in ids:
-            if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+            if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
                 a, b = find(x), find(y)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}

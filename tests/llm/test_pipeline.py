@@ -51,6 +51,23 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert Counter(r["shard"] for r in dealt) == {s: 13 if s % 2 == 0 else 12 for s in range(16)} and len({r["doc_id"] for r in dealt}) == 200
 
 
+def test_near_dedup_links_from_four_fifths_on(spark, tmp_path):
+    rng = random.Random(23)
+    base = prose(rng, 94, 10**6)
+    # 90 shingles; one changed word in the middle leaves 85 of 95, two leave 80 of 100, three 75 of 105
+    rows, keep = [], set()
+    for i, changes in enumerate((0, 2, 3)):
+        words = [f"{w}x{i // 2}" for w in base]
+        for at in range(changes):
+            words[20 + 20 * at] = f"new{i}"
+        rows.append(row(i, " ".join(words)))
+    rows.append(row(3, " ".join(f"{w}x1" for w in base)))
+    path, docs = stored(spark, tmp_path, rows)
+    got = {r["doc_id"] for r in dict(pipeline.STAGES)["near_dedup"](spark, docs, path).collect()}
+    assert got == {i for i, (_, c) in near_by_hand([r[:2] for r in rows], 80).items() if i == c} == {0, 2, 3}
+    assert {i for i, (_, c) in near_by_hand([r[:2] for r in rows]).items() if i == c} == {0, 1, 2, 3}
+
+
 def test_run_is_the_stages_one_after_the_other(spark, tmp_path):
     rows, items = corpus()
     path, docs = stored(spark, tmp_path, rows, items, [(i, 0 if 150 <= i < 190 else 1) for i in range(200)])

@@ -204,3 +204,68 @@ def _(spark, d):
     from vector_atlas.llm.passages import repeated_passages
 
     return repeated_passages(table(spark, d, "documents"))
+
+
+@bind("op11_language_spans")
+def _(spark, d):
+    from vector_atlas.llm.language_spans import held_out, label_languages, learn
+
+    docs = table(spark, d, "documents")
+    found = label_languages(docs, learn(docs.where(~held_out())))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(":"), s["lang"])), ",")
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", spans.alias("spans"))
+
+
+_RANK_SQL = r"""
+with d as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents),
+q as (select item_id, term, count(*) q from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark) group by item_id, term),
+n as (select count(*)::bigint n_docs, sum(len(t))::bigint n_terms from d where len(t) > 0),
+tf as (select r, term, count(*)::bigint tf from (select r, unnest(t) term from d) where term in (select term from q) group by r, term),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double)) as bigint) w from tf, n group by term, n_docs),
+m as (select r, doc_id, 25 + (75 * len(t)::bigint * n_docs) // n_terms m from d, n where len(t) > 0),
+s as (select item_id, doc_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from q join w using (term) join tf using (term) join m using (r) group by item_id, doc_id, r),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) rank from s where score > 0)
+select item_id, cast(rank as int) rank, doc_id, score from ranked where rank <= 10"""
+
+
+@bind("op12_nra_ranking", _RANK_SQL)
+def _(spark, d):
+    from vector_atlas.llm.lexical_search import rank_documents
+
+    return rank_documents(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_TRIE_SQL = r"""
+with turns as (select conv_id c, turn, length(coalesce(text, '')) n, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) token
+  from conversations where conv_id is not null),
+placed as (select c, n, token, row_number() over (partition by c order by turn nulls first, token) - 1 pos from turns),
+ids as (select distinct c, hex(encode(cast(c as varchar))) x from turns),
+heads as (select c, c - c % 100 base, xor(list_reduce(list_prepend(4294967295::bigint,
+    list_transform(range(1, len(x) + 1), lambda i: (instr('0123456789ABCDEF', substr(x, case when i % 2 = 1 then i + 1 else i - 1 end, 1)) - 1)::bigint)),
+    lambda a, b: xor(a >> 4, NIBBLES[1 + (xor(a, b) & 15)])), 4294967295) % 6 h from ids),
+rebuilt as (select h.c, p.pos, p.n, p.token, 0 part from heads h join placed p on p.c = h.base and p.pos < h.h
+  union all select h.c, p.pos, p.n, p.token, 1 from heads h join placed p on p.c = h.c and p.pos >= h.h),
+seq as (select c, n, token, row_number() over (partition by c order by part, pos) d from rebuilt),
+path as (select c, d, n, sha256(string_agg(token, '') over (partition by c order by d)) k from seq union all select c, 0, 0, '' from heads),
+size as (select c, max(d) size from path group by c),
+nodes as (select d, k, any_value(n) n, min(c) conv_id, count(*) n_convs from path group by d, k),
+ends as (select d, k, sha256(string_agg(cast(c as varchar), ',' order by c)) e from path join size using (c) where d = size group by d, k),
+up as (select b.d, b.k, b.n, b.conv_id, b.n_convs, a.k pk from nodes b left join path a on a.c = b.conv_id and a.d = b.d - 1),
+kids as (select d - 1 d, pk k, count(*) n from up where d > 0 group by all),
+marked as (select u.*, coalesce(kids.n, 0) n_children, (kids.n is null)::int leaf, (u.n_convs - 1) * u.n saved from up u left join kids using (d, k)),
+below as (select a.d, a.k, sum(m.leaf) n_leaves, sum(m.saved) saved from marked m join path a on a.c = m.conv_id and a.d <= m.d group by a.d, a.k)
+select m.conv_id, cast(m.d as bigint) depth, p.conv_id parent_conv_id, cast(m.n_convs as bigint) n_convs, cast(m.n_children as bigint) n_children,
+  cast(b.n_leaves as bigint) n_leaves, cast(b.saved as bigint) saved_tokens, coalesce(e.e, sha256('')) ends_sha256
+from marked m join below b using (d, k) left join nodes p on p.d = m.d - 1 and p.k = m.pk left join ends e on e.d = m.d and e.k = m.k""".replace("NIBBLES", _crc_nibbles())
+
+
+@bind("op13_euler_trie", _TRIE_SQL)
+def _(spark, d):
+    from vector_atlas.llm.prefix_trie import prefix_trie
+
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    return prefix_trie(table(spark, d, "conversations"), head, conv - conv % 100)

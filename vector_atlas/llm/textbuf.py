@@ -83,6 +83,29 @@ def chunks(column, max_bytes: int = CHUNK_BYTES):
         lo = hi
 
 
+def pieces(column, word_bytes, max_bytes: int = CHUNK_BYTES):
+    """``(first row, data, offsets)`` as ``chunks`` gives them, but a longer document comes in several
+    pieces of one row each, cut between words (a single word is never cut). For what adds up over words."""
+    for lo, data, offs in chunks(column, max_bytes):
+        n = len(data)
+        if len(offs) > 2 or n <= max_bytes:
+            yield lo, data, offs
+            continue
+        a = 0
+        while a < n:
+            b = min(a + max_bytes, n)
+            if b < n:
+                gaps = np.flatnonzero(~word_bytes[data[a:b]])
+                if len(gaps):
+                    b = a + int(gaps[-1]) + 1
+                else:
+                    while b < n and word_bytes[data[b]]:
+                        ahead = np.flatnonzero(~word_bytes[data[b : b + max_bytes]])
+                        b = b + int(ahead[0]) + 1 if len(ahead) else min(b + max_bytes, n)
+            yield lo, data[a:b], np.array([0, b - a], dtype=np.int64)
+            a = b
+
+
 class Words:
     """Word starts, ends, hashes and per-document word offsets of a chunk."""
 

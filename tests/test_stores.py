@@ -7,8 +7,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from vector_atlas.operators import frames
-from vector_atlas.sources import catalogue, files, stores, tables
+from vector_atlas.operators import frames, joins
+from vector_atlas.sources import catalogue, files, stores, tables, versions
 from vector_atlas.streaming.incremental import run_incremental
 
 
@@ -28,9 +28,9 @@ def test_metrics_replace_only_their_section(spark, tmp_path):
     schema = "model string, section string, metric string, value double"
     stores.write_metrics(spark, spark.createDataFrame([("m", "a", "x", 1.0), ("m", "b", "y", 2.0)], schema), path)
     stores.write_metrics(spark, spark.createDataFrame([("m", "a", "z", math.nan), ("n", "a", "x", math.inf)], schema), path)
-    got = sorted((tuple(r) for r in spark.read.parquet(path).collect()), key=str)
+    got = sorted((tuple(r) for r in stores.read_metrics(spark, path).collect()), key=str)
     assert got == sorted([("m", "b", "y", 2.0), ("m", "a", "z", None), ("n", "a", "x", None)], key=str)
-    doc = {r.model: json.loads(r.document) for r in stores.metrics_document(spark.read.parquet(path)).collect()}
+    doc = {r.model: json.loads(r.document) for r in stores.metrics_document(stores.read_metrics(spark, path)).collect()}
     assert doc["m"] == {"a": {"z": None}, "b": {"y": 2.0}}
 
 
@@ -92,7 +92,7 @@ def test_incremental_runs_merge_new_rows(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         run_incremental(stream, lambda df: df.withColumn("v", F.col("v") * 10), target, str(tmp_path / "cp")).awaitTermination()
-        return sorted(tuple(r) for r in spark.read.parquet(target).collect())
+        return sorted(tuple(r) for r in versions.read_table(spark, target).collect())
 
     assert arrive([("a", 1.0)]) == [("a", 10.0)]
     assert arrive([("a", 7.0), ("b", 2.0)]) == [("a", 10.0), ("b", 20.0)]
@@ -110,12 +110,52 @@ def test_csv_files_with_columns_in_other_orders(spark, tmp_path):
         tables.scan_av(spark, str(tmp_path))
 
 
-def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+def rows_at(spark, path):
+    return sorted(tuple(r) for r in versions.read_table(spark, path).collect())
+
+
+def test_a_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
     path = str(tmp_path / "table")
-    stores.swap_in(spark.range(3), path)
-    stores.swap_in(spark.read.parquet(path).where("id > 0"), path)
-    broken = spark.read.parquet(path).selectExpr("id", "if(id = 2, raise_error('lost'), 1) as x")
+    schema = "k string, v long"
+    first = spark.createDataFrame([(f"k{i}", i) for i in range(200)], schema)
+    assert versions.read_table(spark, path) is None
+    assert versions.replace_table(first, path, ["k"], buckets=16) == 1
+    before = versions.current(spark, path)
+    listed = lambda m: {b: sorted(f.name for f in (tmp_path / "table" / folder).iterdir()) for b, folder in m.folders.items()}
+    files = listed(before)
+    fresh = spark.createDataFrame([("k7", -7), ("new", 1)], schema)
+    keep_last = lambda old, new: joins.upsert_keep_last(old, new, "k")
+    assert versions.merge_into(fresh, path, ["k"], keep_last) == 2
+    after = versions.current(spark, path)
+    touched = {b for b in after.folders if after.folders[b] != before.folders.get(b)}
+    assert 1 <= len(touched) <= 2 and all(listed(after)[b] == files[b] for b in files if b not in touched)
+    want = sorted([(f"k{i}", -7 if i == 7 else i) for i in range(200)] + [("new", 1)])
+    assert rows_at(spark, path) == want
+    # a writer that is lost while writing rows, or between rows and manifest, changes nothing
+    broken = fresh.selectExpr("k", "if(k = 'new', raise_error('lost'), 5L) as v")
     with pytest.raises(Exception, match="lost"):
-        stores.swap_in(broken, path)
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2]
-    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+        versions.merge_into(broken, path, ["k"], keep_last)
+    versions._stored(fresh.withColumn("v", F.lit(9).cast("long")), path, ["k"], 16)
+    assert rows_at(spark, path) == want
+    # a manifest that was cut off is passed over, and its number is not used again
+    (tmp_path / "table" / "manifest" / f"{3:020d}.json").write_text("abc\n{")
+    assert rows_at(spark, path) == want
+    assert versions.merge_into(spark.createDataFrame([("new", 2)], schema), path, ["k"], keep_last) == 4
+    assert ("new", 2) in rows_at(spark, path)
+    assert versions.vacuum(spark, path) and len(rows_at(spark, path)) == 201
+
+
+def test_of_two_writers_the_second_merges_again(spark, tmp_path):
+    path, schema = str(tmp_path / "table"), "k string, v long"
+    versions.replace_table(spark.createDataFrame([("a", 1)], schema), path, ["k"], buckets=4)
+    calls = []
+
+    def slow(old, new):
+        if not calls:  # another writer publishes while this one merges
+            calls.append(versions.merge_into(spark.createDataFrame([("b", 2)], schema), path, ["k"], lambda o, n: joins.upsert_keep_last(o, n, "k")))
+        return joins.upsert_keep_last(old, new, "k")
+
+    assert versions.merge_into(spark.createDataFrame([("c", 3)], schema), path, ["k"], slow) == 3 and calls == [2]
+    assert rows_at(spark, path) == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(ValueError, match="do not touch"):
+        versions.merge_into(spark.createDataFrame([("c", 3)], schema), path, ["k"], lambda o, n: spark.createDataFrame([(f"z{i}", i) for i in range(20)], schema))

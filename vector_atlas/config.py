@@ -55,8 +55,9 @@ class LayoutConfig:
     n_neighbors: int = 15
     min_dist: float = 0.1
     seed: int = 42
-    rounds: int = 10
-    negatives: int = 5
+    repulsion: float = 20.0  # the mean push of all points, against the mean pull of the neighbours
+    tolerance: float = 0.01  # the layout has settled when points move by this part of its extent
+    max_rounds: int = 300  # safety limit: reaching it is an error
 
     def __post_init__(self):
         if self.n_neighbors <= 1:

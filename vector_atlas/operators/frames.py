@@ -174,8 +174,9 @@ def interval_stats(intervals: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("item_id").join(stats, "item_id", "left").na.fill(0.0, ["mean", "std", "cv"])
 
 
-def interval_histogram(intervals: DataFrame, items: DataFrame) -> DataFrame:
-    """Histogram of beats per minute in whole-number bins, its two highest bins and its entropy.
+def tempo_peaks(intervals: DataFrame) -> DataFrame:
+    """Histogram of beats per minute in whole-number bins, its two highest bins and its entropy, for items of
+    at least two intervals.
 
     The peaks are the two fullest bins (ties: lower tempo). A weight is the bin's share; the
     spread is the share of its two neighbours left outside: 1 - share(bin) / share(bin-1..bin+1).
@@ -211,12 +212,14 @@ def interval_histogram(intervals: DataFrame, items: DataFrame) -> DataFrame:
         F.sum(-p * F.log2(p)).alias("entropy"),
     )
     ratio = F.when(F.col("first_weight") > 0, F.col("second_weight") / F.col("first_weight")).otherwise(0.0)
-    names = [c for c in found.columns if c != "item_id"] + ["peak_ratio"]
-    return (
-        items.select("item_id")
-        .join(found.withColumn("peak_ratio", ratio), "item_id", "left")
-        .na.fill(0.0, names)
-    )
+    return found.withColumn("peak_ratio", ratio)
+
+
+def interval_histogram(intervals: DataFrame, items: DataFrame) -> DataFrame:
+    """``tempo_peaks`` for every item; zeros where there are fewer than two intervals."""
+    found = tempo_peaks(intervals)
+    names = [c for c in found.columns if c != "item_id"]
+    return items.select("item_id").join(found, "item_id", "left").na.fill(0.0, names)
 
 
 def band_ratio_summary(frames: DataFrame, items: DataFrame) -> DataFrame:

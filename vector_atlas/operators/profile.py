@@ -73,82 +73,65 @@ def cluster_run_summary(membership: DataFrame, edges: DataFrame, modularity_row:
     )
 
 
+NARROW = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def column_profile(table: DataFrame, approximate: bool = False) -> DataFrame:
-    """Per column: type, null share, distinct values, and range of numeric columns.
+    """Per column: type, null share, distinct values, and range of numeric columns. NaN counts as null.
 
-    Exact counts unpivot the table to (column, value) pairs and count each distinct pair
-    once, so a column with one dominant value is reduced before the shuffle; many exact
-    distinct counts in one aggregate would multiply every row. NaN counts as null.
+    Distinct values are counted exactly in two steps: each task folds its own repetitions, and only one key per
+    task, column and distinct value is shuffled. The key of a value of up to 64 bits is its 64-bit hash, which for
+    inputs of that size is one to one; wider values have one of 128 bits. All columns of a kind share one shuffle,
+    and all plain counts and ranges one aggregate of a single row.
     """
-    numeric = {f.name for f in table.schema.fields if isinstance(f.dataType, T.NumericType)}
     floating = {f.name for f in table.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
-    types = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    numeric = {f.name for f in table.schema.fields if isinstance(f.dataType, T.NumericType)}
+    narrow = {f.name for f in table.schema.fields if isinstance(f.dataType, NARROW)}
 
     def value(c):
         # adding zero folds the two signed zeros into one value
-        return F.when(~F.isnan(c), F.col(c) + F.lit(0.0)) if c in floating else F.col(c)
+        return F.when(~F.isnan(F.col(c)), F.col(c) + F.lit(0.0).cast(table.schema[c].dataType)) if c in floating else F.col(c)
 
     def number(c):
         return value(c).cast("double") if c in numeric else F.lit(None).cast("double")
 
+    def hashable(c):
+        kind = table.schema[c].dataType
+        if isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+            return F.to_json(F.struct(F.col(c).alias("v")))
+        return value(c) if isinstance(kind, NARROW) or isinstance(kind, (T.DecimalType, T.BinaryType)) else F.col(c).cast("string")
+
+    facts = []
+    for i, c in enumerate(table.columns):
+        facts += [F.count(value(c)).alias(f"n{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}")]
+        if approximate:
+            facts.append(F.approx_count_distinct(hashable(c)).alias(f"d{i}"))
+    entries = F.array(*[
+        F.struct(
+            F.lit(i).cast("short").alias("i"), F.lit(c).alias("column"), F.lit(table.schema[c].dataType.simpleString()).alias("type"),
+            F.when(F.col("rows") > 0, (F.col("rows") - F.col(f"n{i}")) * 100.0 / F.col("rows")).otherwise(0.0).alias("null_pct"),
+            (F.col(f"d{i}") if approximate else F.lit(None).cast("long")).alias("distinct"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+        for i, c in enumerate(table.columns)
+    ])
+    plain = table.agg(F.count("*").alias("rows"), *facts).select(F.explode(entries).alias("e")).select("e.*")
     if approximate:
-        aggregates = []
-        for i, c in enumerate(table.columns):
-            aggregates += [
-                F.count(value(c)).alias(f"n{i}"),
-                F.approx_count_distinct(value(c)).alias(f"d{i}"),
-                F.min(number(c)).alias(f"lo{i}"),
-                F.max(number(c)).alias(f"hi{i}"),
-            ]
-        wide = table.agg(F.count("*").alias("rows"), *aggregates)
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(types[c]).alias("type"),
-                    (F.col("rows") - F.col(f"n{i}")).alias("nulls"),
-                    F.col(f"d{i}").alias("distinct"),
-                    F.col(f"lo{i}").alias("min"),
-                    F.col(f"hi{i}").alias("max"),
-                    F.col("rows"),
-                )
-                for i, c in enumerate(table.columns)
-            ]
-        )
-        per_column = wide.select(F.explode(entries).alias("e")).select("e.*")
-    else:
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(types[c]).alias("type"),
-                    (F.to_json(F.struct(value(c).alias("v"))) if isinstance(table.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else value(c).cast("string")).alias("value"),
-                    number(c).alias("number"),
-                )
-                for c in table.columns
-            ]
-        )
-        values = (
-            table.select(F.explode(cells).alias("e"))
-            .select("e.*")
-            .groupBy("column", "type", "value")
-            .agg(F.count("*").alias("n"), F.min("number").alias("number"))
-        )
-        per_column = values.groupBy("column", "type").agg(
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("value").alias("distinct"),
-            F.min("number").alias("min"),
-            F.max("number").alias("max"),
-            F.sum("n").alias("rows"),
-        )
-    return per_column.select(
-        "column",
-        "type",
-        F.when(F.col("rows") > 0, F.col("nulls") * 100.0 / F.col("rows")).otherwise(0.0).alias("null_pct"),
-        "distinct",
-        "min",
-        "max",
-    )
+        return plain.drop("i")
+    counts = []
+    for wide in (False, True):
+        columns = [(i, c) for i, c in enumerate(table.columns) if (c in narrow) != wide]
+        if not columns:
+            continue
+        cells = F.array(*[
+            F.struct(
+                F.lit(i).cast("short").alias("i"), F.when(value(c).isNotNull(), F.xxhash64(hashable(c))).alias("a"),
+                *([F.xxhash64(F.lit(1), hashable(c)).alias("b")] if wide else []))
+            for i, c in columns
+        ])
+        keys = table.select(F.explode(cells).alias("e")).select("e.*").where("a is not null").distinct()
+        counts.append(keys.groupBy("i").agg(F.count("*").alias("found")))
+    found = reduce(DataFrame.unionByName, counts)  # one row per column
+    return plain.join(F.broadcast(found), "i", "left").select(
+        "column", "type", "null_pct", F.coalesce("found", F.lit(0).cast("long")).alias("distinct"), "min", "max")
 
 
 def vector_profile(vectors: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,8 +14,9 @@ from pyspark.sql import functions as F
 from vector_atlas.config import SYMMETRIZE_MODES
 from vector_atlas.functions import arrays
 from vector_atlas.operators.graph import connected_components, degree_stats, modularity, symmetrize_graph
-from vector_atlas.operators.indexing import random_pairs
-from vector_atlas.operators.neighbours import knn_join, nearest, retrieve_top_k
+from vector_atlas.operators.indexing import average_rank, random_pairs
+from vector_atlas.operators.neighbours import nearest
+from vector_atlas.operators.ranks import rank_excess
 from vector_atlas.operators.profile import tag_counts
 from vector_atlas.operators.vectors import vector_matrix
 from vector_atlas.operators.cleaning import sample_key
@@ -24,8 +24,8 @@ from vector_atlas.session import materialise
 
 PAIR_SAMPLE = 10_000
 SHEPARD_PAIRS = 5_000
-RANK_BLOCK = 1024  # points per block when ranks are counted
-RANK_TILE = 8  # blocks of asking points that share the blocks sent to them
+GRAM_SALTS = 64  # groups in which the sums of tasks are added up first
+PAIR_ROWS = 1_000_000  # drawn pairs that may be broadcast
 SEED = 42
 
 
@@ -39,8 +39,12 @@ def _softened(vectors: DataFrame) -> DataFrame:
     )
 
 
-def gram_matrix(vectors: DataFrame, column: str) -> DataFrame:
-    """``dim, products``: the d x d matrix of column products; one partial matrix per task."""
+def gram_matrix(vectors: DataFrame, column: str, salts: int = GRAM_SALTS) -> DataFrame:
+    """``dim, products``: the d x d matrix of column products.
+
+    A task's sum travels as one binary row, the upper triangle. Tasks are added up per salt first, and the
+    sums of the salts then, each as a running total: a group streams past, it is never held.
+    """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -48,18 +52,34 @@ def gram_matrix(vectors: DataFrame, column: str) -> DataFrame:
                 x = vector_matrix(batch.column(0))
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
+            yield _triangle(total[np.triu_indices(len(total))], len(total))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, dim = None, 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = np.frombuffer(batch.column(1)[row].as_buffer(), np.float64)
+                total, dim = own if total is None else total + own, batch.column(0)[row].as_py()
+        if total is not None:
+            yield _triangle(total, dim)
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in added(batches):
+            dim = batch.column(0)[0].as_py()
+            whole = np.zeros((dim, dim))
+            whole[np.triu_indices(dim)] = np.frombuffer(batch.column(1)[0].as_buffer(), np.float64)
+            whole = whole + np.triu(whole, 1).T
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))],
-                names=["dim", "products"],
-            )
+                [pa.array(np.arange(dim), pa.int32()), pa.array(whole.tolist(), pa.list_(pa.float64()))], names=["dim", "products"])
+
+    packed = "dim int, triangle binary"
+    parts = vectors.select(column).mapInArrow(partial, packed)
+    salted = parts.repartition(salts, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).mapInArrow(added, packed)
+    return salted.coalesce(1).mapInArrow(unfold, "dim int, products array<double>")  # at most ``salts`` rows
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(rows["products"].to_numpy()), axis=0)
-        return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "products": [total]})
 
-    schema = "dim int, products array<double>"
-    parts = vectors.select(column).mapInArrow(partial, schema)
-    return parts.groupBy("dim").applyInPandas(merge, schema)  # one group: one row per task
+def _triangle(values: np.ndarray, dim: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([values.tobytes()], pa.binary())], names=["dim", "triangle"])
 
 
 def pairwise_cosine_exact(vectors: DataFrame) -> DataFrame:
@@ -99,7 +119,8 @@ def pairwise_cosine_exact(vectors: DataFrame) -> DataFrame:
 def pairwise_cosine_sample(vectors: DataFrame, n_pairs: int = PAIR_SAMPLE, seed: int = SEED) -> DataFrame:
     """One row: mean and deviation over randomly drawn unequal pairs (a bounded table)."""
     unit = _softened(vectors)
-    pairs = F.broadcast(random_pairs(vectors, n_pairs, seed))
+    pairs = random_pairs(vectors, n_pairs, seed)
+    pairs = F.broadcast(pairs) if n_pairs <= PAIR_ROWS else pairs
     cosines = (
         unit.select(F.col("item_id").alias("i"), F.col("u").alias("ui"))
         .join(pairs, "i")
@@ -309,12 +330,11 @@ def semantic_quality(coherence: DataFrame) -> DataFrame:
 # --- projection ------------------------------------------------------------------------------
 
 
-def neighbourhood_preservation(points: DataFrame, k: int, block_rows: int = RANK_BLOCK) -> DataFrame:
+def neighbourhood_preservation(points: DataFrame, k: int, **limits) -> DataFrame:
     """One row ``trustworthiness, continuity, k, n_samples`` for ``points(item_id, embedding, x, y)``.
 
-    The k nearest items of both spaces come from the exact search. Only where they differ are ranks
-    needed: for item i and its neighbour j, how many items are nearer to i than j in the other space.
-    These are counted in blocks, each sent once to every tile of asking items, and only sums come out.
+    Where the k nearest items of the two spaces differ, an item costs as much as its rank in the other
+    space exceeds k (``ranks``). Equal distances go by id.
     """
     spark = points.sparkSession
     unit = arrays.scale_down("embedding", F.greatest(arrays.norm("embedding"), F.lit(arrays.ZERO_NORM)))
@@ -323,105 +343,17 @@ def neighbourhood_preservation(points: DataFrame, k: int, block_rows: int = RANK
     k_eval = max(1, min(k, n // 2 - 1))
     scale = float(n * k_eval * (2 * n - 3 * k_eval - 1))
     if n <= k or scale <= 0:
-        row = [(0.0, 0.0, k if n <= k else k_eval, n)]
-        return spark.createDataFrame(row, "trustworthiness double, continuity double, k int, n_samples int")
-    high = knn_join(points.select("item_id", F.col("u").alias("embedding")), k_eval).select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    # the largest 2 q.x - |x|^2 belongs to the nearest point of the plane
-    x, y = F.col("p")[0], F.col("p")[1]
-    asked = points.select(F.col("item_id").alias("query_id"), F.array(x, y, F.lit(1.0)).alias("embedding"))
-    plane = points.select("item_id", F.array(2 * x, 2 * y, -(x * x + y * y)).alias("embedding"))
-    own = points.select(F.col("item_id").alias("query_id"), "item_id")
-    low = retrieve_top_k(asked, plane, k_eval, own).select(F.col("query_id").alias("i"), F.col("item_id").alias("j"))
-    high, low = materialise(high, "near-high"), materialise(low, "near-low")
-    wanted = low.join(high, ["i", "j"], "left_anti").withColumn("space", F.lit(0)).unionByName(
-        high.join(low, ["i", "j"], "left_anti").withColumn("space", F.lit(1))
-    )
-    flat = F.sqrt(F.pow(F.col("pi")[0] - F.col("pj")[0], 2) + F.pow(F.col("pi")[1] - F.col("pj")[1], 2))
-    bound = F.when(F.col("space") == 0, 1.0 - arrays.dot("ui", "uj")).otherwise(flat)
-    blocks = max(1, -(-n // block_rows))
-    tiles = max(1, -(-blocks // RANK_TILE))
-    asking = (
-        wanted.join(points.toDF("i", "ui", "pi"), "i").join(points.toDF("j", "uj", "pj"), "j")
-        .groupBy("i").agg(F.first("ui").alias("u"), F.first("pi").alias("p"), F.collect_list(F.struct("space", "j", bound.alias("bound"))).alias("asks"))
-        .select(F.pmod(F.xxhash64("i"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("kind"), F.array("i").alias("ids"), "u", "p", "asks")
-    )
-    packed = points.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(
-        F.collect_list("item_id").alias("ids"), F.flatten(F.collect_list("u")).alias("u"), F.flatten(F.collect_list("p")).alias("p")
-    )
-    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("kind"), "ids", "u", "p", F.lit(None).cast(asking.schema["asks"].dataType).alias("asks"))
-    rows = asking.unionByName(sent).repartition("tile").sortWithinPartitions("tile", "kind")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held, ready, total = None, [], None, [0, 0]
-        for batch in batches:
-            for r in range(batch.num_rows):
-                if batch.column("tile")[r].as_py() != tile:
-                    tile, held, ready = batch.column("tile")[r].as_py(), [], None
-                ids = batch.column("ids")[r].as_py()
-                u, p = (np.asarray(batch.column(c)[r].values, dtype="float64") for c in ("u", "p"))
-                if batch.column("kind")[r].as_py() == 0:
-                    held.append((ids[0], u, p, batch.column("asks")[r].as_py()))
-                elif held:
-                    if ready is None:
-                        ready = _Asking(held)
-                    got = ready.nearer(np.array(ids, dtype=object), u.reshape(len(ids), -1), p.reshape(len(ids), 2))
-                    total = [a + b for a, b in zip(total, got)]
-        yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()) for t in total], names=["t", "c"])
-
-    nearer = rows.mapInArrow(count, "t bigint, c bigint").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
-    # a rank is one more than the items before it; its excess over k is the penalty
-    asked = wanted.agg(F.coalesce(F.sum((F.col("space") == 0).cast("int")), F.lit(0)).alias("nt"), F.coalesce(F.sum("space"), F.lit(0)).alias("nc"))
-    sums = beside(nearer, asked)
-    penalty = {c: F.col(c) + F.col(f"n{c}") * (1 - k_eval) for c in "tc"}
-    return sums.select(
-        (1.0 - F.lit(2.0 / scale) * penalty["t"]).alias("trustworthiness"),
-        (1.0 - F.lit(2.0 / scale) * penalty["c"]).alias("continuity"),
-        F.lit(k_eval).alias("k"),
-        F.lit(n).alias("n_samples"),
-    )
-
-
-class _Asking:
-    """Items of a tile with the neighbours whose ranks they ask for."""
-
-    def __init__(self, held):
-        self.ids = np.array([h[0] for h in held], dtype=object)
-        self.u, self.p = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-        asks = [(r, a["space"], a["j"], a["bound"]) for r, h in enumerate(held) for a in h[3]]
-        self.row = np.array([a[0] for a in asks])
-        self.space = np.array([a[1] for a in asks])
-        self.j = np.array([a[2] for a in asks], dtype=object)
-        self.bound = np.array([a[3] for a in asks])
-
-    def nearer(self, ids, u, p) -> tuple[int, int]:
-        """Items of a block that come before the asked ones, by space; equal distances go by id."""
-        out = [0, 0]
-        for s in range(0, len(self.row), 2048):
-            row, space = self.row[s : s + 2048], self.space[s : s + 2048]
-            away = np.where(
-                (space == 0)[:, None], 1.0 - self.u[row] @ u.T,
-                np.sqrt(((self.p[row][:, None, :] - p[None, :, :]) ** 2).sum(axis=2)),
-            )
-            gap = away - self.bound[s : s + 2048, None]
-            tie = np.abs(gap) <= 1e-12
-            before = (gap < 0) & ~tie
-            at, to = np.nonzero(tie)
-            before[at, to] = ids[to].astype(str) < self.j[s : s + 2048][at].astype(str)
-            before &= self.ids[row][:, None] != ids[None, :]
-            for space_number in (0, 1):
-                out[space_number] += int(before[space == space_number].sum())
-        return out[0], out[1]
-
-
-def _average_rank(value: str):
-    """Rank with ties averaged, over a table bounded by the number of drawn pairs."""
-    return F.rank().over(Window.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
+        row = (0.0, 0.0, k if n <= k else k_eval, n)
+    else:
+        t, c = rank_excess(points, k_eval, **limits)
+        row = (1.0 - 2.0 / scale * t, 1.0 - 2.0 / scale * c, k_eval, n)
+    return spark.createDataFrame([row], "trustworthiness double, continuity double, k int, n_samples int")
 
 
 def shepard_rho(points: DataFrame, n_pairs: int = SHEPARD_PAIRS, seed: int = SEED) -> DataFrame:
     """One row ``shepard_rho``: rank correlation of high and low distances over drawn pairs."""
     pairs = random_pairs(points, n_pairs, seed)
-    pairs = F.broadcast(pairs) if n_pairs <= 1_000_000 else pairs  # at most n_pairs rows
+    pairs = F.broadcast(pairs) if n_pairs <= PAIR_ROWS else pairs  # at most n_pairs rows
     unit = points.select(
         "item_id",
         arrays.scale_down("embedding", F.greatest(arrays.norm("embedding"), F.lit(arrays.ZERO_NORM))).alias("u"),
@@ -433,7 +365,9 @@ def shepard_rho(points: DataFrame, n_pairs: int = SHEPARD_PAIRS, seed: int = SEE
         (1.0 - arrays.dot("ui", "uj")).alias("high"),
         F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2)).alias("low"),
     )
-    ranked = both.select(_average_rank("high").alias("rh"), _average_rank("low").alias("rl"))
+    # written, since each of the two orders reads it
+    both = materialise(both, "distances")
+    ranked = average_rank(average_rank(both, "high", "rh"), "low", "rl")
     rho = ranked.agg(F.corr("rh", "rl").alias("r"))
     return rho.select(F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")).alias("shepard_rho"))
 

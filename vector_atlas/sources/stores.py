@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vector_atlas import schemas
+from vector_atlas.sources.versions import merge_into, read_table, replace_table
 
 
 @dataclass(frozen=True)
@@ -100,37 +99,17 @@ def upsert_metrics(existing: DataFrame | None, section: DataFrame) -> DataFrame:
     return existing.join(replaced, ["model", "section"], "left_anti").unionByName(fresh)
 
 
-def swap_in(df: DataFrame, path: str) -> str:
-    """Replace the table at ``path`` by a result that was computed from it.
-
-    The rows are written once, into a folder beside the table. Only when that has succeeded are the
-    folders renamed, so a failing write leaves the old table as it was; a crash between the two
-    renames leaves it under ``<path>.old-…``.
-    """
-    spark = df.sparkSession
-    mark = uuid.uuid4().hex
-    staged, retired = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
-    df.write.parquet(staged)
-    folder = spark._jvm.org.apache.hadoop.fs.Path
-    fs = folder(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(folder(path))
-    if had and not fs.rename(folder(path), folder(retired)):
-        raise OSError(f"{path} cannot be replaced; the new rows are in {staged}")
-    if not fs.rename(folder(staged), folder(path)):
-        raise OSError(f"{staged} cannot be renamed; the old rows are in {retired}")
-    if had:
-        fs.delete(folder(retired), True)
-    return path
-
+def write_metrics(spark: SparkSession, section: DataFrame, path: str) -> str:
+    """Merge the sections of ``section`` into the store; buckets of other sections keep their files."""
+    def merged(existing, fresh):
+        return _conform(upsert_metrics(existing, fresh), schemas.METRICS_SCHEMA)
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    merge_into(_conform(section, schemas.METRICS_SCHEMA), path, ["model", "section"], merged)
+    return path
 
 
-def write_metrics(spark: SparkSession, section: DataFrame, path: str) -> str:
-    existing = spark.read.schema(schemas.METRICS_SCHEMA).parquet(path) if path_exists(spark, path) else None
-    return swap_in(_conform(upsert_metrics(existing, section), schemas.METRICS_SCHEMA), path)
+def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_table(spark, path)
 
 
 def metrics_document(metrics: DataFrame) -> DataFrame:
@@ -148,12 +127,23 @@ def metrics_document(metrics: DataFrame) -> DataFrame:
 
 
 def write_matches(matches: DataFrame, path: str) -> str:
-    return swap_in(_conform(matches, schemas.MATCHES_SCHEMA), path)
+    """The store with exactly these rows, as a new version."""
+    replace_table(_conform(matches, schemas.MATCHES_SCHEMA), path, ["song_id"])
+    return path
+
+
+def merge_matches(matches: DataFrame, path: str) -> str:
+    """Add rows to the store, in place of earlier rows of the same songs."""
+    from vector_atlas.operators.joins import upsert_keep_last
+
+    def merged(existing, fresh):
+        return _conform(upsert_keep_last(existing, fresh, "song_id"), schemas.MATCHES_SCHEMA)
+
+    merge_into(_conform(matches, schemas.MATCHES_SCHEMA), path, ["song_id"], merged)
+    return path
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame | None:
     """Earlier match rows with a typed flag (null counts as not matched), or None."""
-    if not path_exists(spark, path):
-        return None
-    rows = spark.read.schema(schemas.MATCHES_SCHEMA).parquet(path)
-    return rows.withColumn("matched", F.coalesce("matched", F.lit(False)))
+    rows = read_table(spark, path)
+    return None if rows is None else rows.withColumn("matched", F.coalesce("matched", F.lit(False)))

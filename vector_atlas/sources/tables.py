@@ -3,26 +3,49 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vector_atlas import schemas
 from vector_atlas.functions.tags import split_tags
+from vector_atlas.operators.indexing import sums_before
+from vector_atlas.session import materialise
 
 CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"'}
 
 
+SPLIT_CONF, OPEN_CONF = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+
+
 def _files_by_header(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
-    """Column names and the files that have them, in that order; one entry per distinct header."""
+    """Column names and the files that have them, in that order; one entry per distinct header.
+
+    Each task opens one part of a file and stops after its first batch of lines, so the data is not read twice.
+    The names of the files reach the driver, as the reader needs them there.
+    """
+    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
     )
-    first = lines.where("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    found = first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    return [(next(csv.reader([row["header"].removeprefix("\ufeff")]), []), row["files"]) for row in found]
+    first = lines.mapInArrow(first_line, lines.schema).where("start = 0")
+    found = first.groupBy(F.col("value").alias("header")).agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header")
+    before = spark.conf.get(OPEN_CONF)
+    spark.conf.set(OPEN_CONF, spark.conf.get(SPLIT_CONF))  # no two parts of files in one task
+    try:
+        rows = found.collect()
+    finally:
+        spark.conf.set(OPEN_CONF, before)
+    return [(next(csv.reader([row["header"].removeprefix("\ufeff")]), []), row["files"]) for row in rows]
 
 
 def _read_csv(spark: SparkSession, path: str, types: T.StructType, multi_line: bool = False) -> DataFrame:
@@ -92,11 +115,10 @@ def label_vocabulary(metadata: DataFrame) -> DataFrame:
     """Distinct tags of the five source columns: ``(vocabulary, tag, position)``.
 
     All columns are unpivoted in one scan; distinct runs before the ordering, so only the
-    vocabulary itself is ordered. Tags are ordered without regard to case, then as written.
+    vocabularies are ordered, all in one order that is cut into ranges. Tags are ordered without
+    regard to case, then as written.
     """
     schemas.require_columns(metadata, schemas.VOCABULARY_COLUMNS.values(), "metadata")
-    from pyspark.sql import Window
-
     entries = F.array(
         *[
             F.struct(F.lit(name).alias("vocabulary"), split_tags(raw).alias("tags"))
@@ -108,8 +130,10 @@ def label_vocabulary(metadata: DataFrame) -> DataFrame:
         .select("e.vocabulary", F.explode("e.tags").alias("tag"))
         .distinct()
     )
-    order = Window.partitionBy("vocabulary").orderBy(F.lower("tag"), "tag")
-    return distinct.withColumn("position", F.row_number().over(order))
+    folded = distinct.withColumns({"folded": F.lower("tag"), "one": F.lit(1).cast("long")})
+    placed = materialise(sums_before(folded, ["vocabulary", "folded", "tag"], "one"), "vocabularies")
+    starts = placed.groupBy("vocabulary").agg(F.min("before").alias("start"))  # one row per vocabulary
+    return placed.join(F.broadcast(starts), "vocabulary").select("vocabulary", "tag", (F.col("before") - F.col("start") + 1).alias("position"))
 
 
 def label_vocabulary_json(metadata: DataFrame) -> DataFrame:

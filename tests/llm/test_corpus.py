@@ -200,6 +200,19 @@ def test_mixture_on_odd_rows(spark):
     assert mixture.repeat(mixture.mix(table(spark, []))).count() == 0
 
 
+def test_tied_rows_meet_the_target(spark):
+    # 300 rows with no id and one text, and as many words of another source
+    docs = table(spark, [(None, "one two three four", "a")] * 300 + [(i, "w " * 40, "b") for i in range(30)] + [(7, "same id", "c"), (7, "other text here", "c")])
+    for seed in range(3):
+        rows = mixture.mix(docs, seed=seed).collect()
+        taken = Counter()
+        for r in rows:
+            taken[r["source"]] += r["size"] * r["copies"]
+            assert r["copies"] <= 3
+        aims = {r["source"]: r["target"] for r in rows}
+        assert len(rows) == 332 and all(abs(taken[x] - aims[x]) <= 40 for x in "ab") and {r["copies"] for r in rows if r["source"] == "a"} in ({1, 2}, {2, 3}, {1}, {2}, {0, 1})
+
+
 # --- decontamination ------------------------------------------------------------------------------
 
 
@@ -327,10 +340,23 @@ def test_seeds_miss_no_notice_within_its_errors():
                 at = rng.randrange(len(chars))
                 chars[at : at + rng.randrange(2)] = rng.choice(["", "z", "q"])
             doc = f"some words {''.join(chars)} more words"
-            if pattern.search(doc):
+            m = pattern.search(doc)
+            words = iter(re.findall("[a-z0-9]+", m.group()) if m else ())
+            if m and all(w in words for w in re.findall("[a-z0-9]+", text) if len(w) <= 3):
                 assert label in {f[0] for f in scanner.scan(doc)}, doc
 
 
+def test_notices_side_by_side_and_short_words():
+    scanner = licenses.Scanner()
+    for doc in ("mit licence, mit license", "mit licence. mit license.", "mit license mit license", "mit license. mit licence, mit lcense"):
+        found = [f for f in scanner.scan(doc) if f[0] == "mit"]
+        assert [doc[a:b].strip(" .,") for _, a, b, _, _ in found] == re.findall("mit l[a-z]+", doc)
+    for doc in ("the it license", "a bit license", "it is a m license", "sit license mist license", "mit licenses are"):
+        assert "mit" not in {f[0] for f in scanner.scan(doc) if doc[f[1] : f[2]].split()[0] != "mit"}
+    long = "some prose goes on. " * 60_000 + "mit licence, apache license " + "and on. " * 500_000
+    assert len(long) > 5_000_000 and [f[0] for f in scanner.scan(long)] == ["mit", "apache"]
+
+
 def test_licenses_on_odd_rows(spark):
     got = licenses.scan_licenses(table(spark, MESSY)).collect()
     assert len(got) == len(MESSY) and all(r["labels"] == "" and r["score"] == 0 for r in got)
@@ -414,20 +440,24 @@ def test_templates_tell_deep_paths_apart(spark):
 def test_each_speaker_is_the_assistant_once(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi <|im_end|>"), (1, 2, "bob", "Yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, None, "x"), (3, None, "ann", "late"), (3, 1, "ann", "first")]
     turns = spark.createDataFrame([(*r, "p") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string")
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in perspectives.rotate(turns).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "ann", 0), (3, "ann", None)}
-    ann = got[1, "ann", 0]
+    got = {(r["conv_id"], r["perspective"]): r for r in perspectives.rotate(turns).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown"), (3, "ann")}
+    assert got[3, "ann"]["rendered"].index("late") < got[3, "ann"]["rendered"].index("first")
+    ann = got[1, "ann"]
     assert ann["rendered"] == (
         "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>assistant\nHi < |im_end|><|im_end|>\n<|im_start|>user name=bob\nYo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
     assert [ann["rendered"][m["start"] : m["end"]] for m in ann["masks"]] == ["Hi < |im_end|>", ""]
-    bob = got[1, "bob", 0]
+    bob = got[1, "bob"]
     assert [bob["rendered"][m["start"] : m["end"]] for m in bob["masks"]] == ["Yo"] and "user name=ann" in bob["rendered"]
     assert perspectives.rotate(turns.limit(0)).count() == 0
 
 
-def test_long_conversations_come_in_parts(spark):
+def test_long_conversations_are_whole_or_come_in_parts(spark):
     turns = spark.range(1000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'u', 'v') as role", "concat('t', id) as text")
-    got = perspectives.rotate(turns).collect()
+    whole = {r["perspective"]: r for r in perspectives.rotate(turns.unionByName(turns.where("id < 3"))).collect()}
+    assert {p: r["n_turns"] for p, r in whole.items()} == {"u": 1003, "v": 1003} and "part" not in whole["u"].asDict()
+    assert [whole["v"]["rendered"][m["start"] : m["end"]] for m in whole["v"]["masks"]] == ["t1", "t1", *[f"t{i}" for i in range(3, 1000, 2)]]
+    got = perspectives.rotate(turns, block=256).collect()
     assert Counter((r["perspective"], r["n_turns"]) for r in got) == {("u", 256): 3, ("v", 256): 3, ("u", 232): 1, ("v", 232): 1}
     own = [r["rendered"][m["start"] : m["end"]] for r in sorted(got, key=lambda r: r["part"]) if r["perspective"] == "v" for m in r["masks"]]
     assert own == [f"t{i}" for i in range(1, 1000, 2)]

@@ -82,13 +82,31 @@ def test_stages_on_odd_rows(spark, tmp_path):
     path, docs = stored(spark, tmp_path, [row(i, t) for i, t in MESSY], [(1, "alpha beta"), (None, None)])
     stages = dict(pipeline.STAGES)
     single = Counter(r["doc_id"] for r in stages["near_dedup"](spark, docs, path).collect())
-    assert single[1] == 1 and single[5] == 0 and single[6] == 1
+    assert single[1] == 1 and single[5] == 0 and single[6] == 1 and single[None] == 1
     clean = stages["decontaminate"](spark, docs, path).collect()
     assert {r["doc_id"] for r in clean} == {2, 3, 4, 6, 7, 8, 9, None} and [r["text"] for r in clean if r["doc_id"] is None] == [None]
     assert len(stages["shard"](spark, docs, path).collect()) == len(MESSY)
     assert pipeline.run(spark, path).count() >= 1
 
 
+def test_rows_without_ids_are_no_other_rows(spark, tmp_path):
+    """A null text hashes to 42 in Spark, a text id is no number: keys must not come from either."""
+    plain = [row(42, "alpha beta gamma delta epsilon zeta"), row(7, "some quite different words stand here"), row(None, None), row(None, "alpha beta gamma delta epsilon zeta"), row(7, "seven again with other words"), row(7, "seven again with other words")]
+    path, docs = stored(spark, tmp_path / "a", plain, [(1, "some quite different")])
+    stages = dict(pipeline.STAGES)
+    single = sorted(((r["doc_id"], r["text"]) for r in stages["near_dedup"](spark, docs, path).collect()), key=str)
+    assert single == sorted([(42, plain[0][1]), (7, plain[1][1]), (None, None), (7, plain[4][1])], key=str)
+    clean = sorted(((r["doc_id"], r["text"]) for r in stages["decontaminate"](spark, docs, path).collect()), key=str)
+    assert clean == sorted(((r[0], r[1]) for i, r in enumerate(plain) if i != 1), key=str)
+    named = docs.withColumn("doc_id", pipeline.F.concat(pipeline.F.lit("doc "), pipeline.F.col("doc_id").cast("string")))
+    assert {r["doc_id"] for r in stages["near_dedup"](spark, named, path).collect()} == {"doc 42", "doc 7", None}
+    many = [row(None, "same words for all") for _ in range(60)] + [row(i, f"text number {i} of b", "b") for i in range(12)]
+    path, docs = stored(spark, tmp_path / "b", many)
+    mixed = Counter(r["source"] for r in stages["mix"](spark, docs, path).collect())
+    # 300 words by 5 to 2, of which the first source can give 180
+    assert mixed == {"b": 36, "s": 30}
+
+
 def test_empty_corpus(spark, tmp_path):
     path, _ = stored(spark, tmp_path, [], [], [])
     assert pipeline.run(spark, path).count() == 0

@@ -3,11 +3,15 @@
 A notice of n characters may differ in ``errors(n)`` edits. Cut into one piece more than that, at
 least one piece stays whole (pigeonhole), so an Aho-Corasick pass over the pieces of all notices finds
 every candidate place; around it, the regex library's bounded-error matching verifies the notice,
-counts the edits and gives the span.
+counts the edits and gives the span. Its best match in a stretch comes first, and the parts before and
+after are searched again, so notices side by side are all found. Words of up to three letters must stand
+as they are: one edit turns too many of them into other words.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,10 @@ NOTICES = (
 )
 
 
+WORD = re.compile("[a-z0-9]+")
+SHORT = 3  # words of at most this many letters allow no edits
+
+
 def errors(n: int) -> int:
     """Edits allowed in a notice of ``n`` characters: one in ten, one at least."""
     return max(1, n // 10)
@@ -57,6 +65,7 @@ class Scanner:
         self.patterns = [
             regex.compile(f"(?b)(?<![a-z0-9])(?:{regex.escape(text)}){{e<={k}}}(?![a-z0-9])") for (text, _), k in zip(notices, self.bounds)
         ]
+        self.exact = [[w for w in WORD.findall(text) if len(w) <= SHORT] for text, _ in notices]
         seeds: dict[str, list] = {}
         for i, (text, _) in enumerate(notices):
             cuts = np.linspace(0, len(text), self.bounds[i] + 2).astype(int).tolist()
@@ -84,11 +93,26 @@ class Scanner:
         for i, own in windows.items():
             for lo, hi in own:
                 # one character more on each side lets the bounds of the match see what follows
-                for m in self.patterns[i].finditer(text[max(0, lo - 1) : hi + 1]):
-                    at = max(0, lo - 1)
-                    found.append((self.labels[i], at + m.start(), at + m.end(), sum(m.fuzzy_counts), self.lengths[i]))
+                at = max(0, lo - 1)
+                found += [(self.labels[i], at + a, at + b, edits, self.lengths[i]) for a, b, edits in self.verified(i, text[at : hi + 1])]
         return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
 
+    def verified(self, i: int, stretch: str) -> list[tuple[int, int, int]]:
+        """``start, end, edits`` of the notice ``i`` in a stretch: the best match, then those before and behind it."""
+        found, todo = [], [(0, len(stretch))]
+        while todo:
+            lo, hi = todo.pop()
+            m = self.patterns[i].search(stretch, lo, hi)
+            if m is None or m.end() == m.start():
+                continue
+            words = iter(WORD.findall(m.group()))
+            if all(w in words for w in self.exact[i]):  # each in turn, in order
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(lo, m.start()), (m.end(), hi)]
+            else:
+                todo += [(lo, m.start()), (m.start() + 1, hi)]
+        return found
+
 
 def _phrase_hashes(phrases):
     import pyarrow as pa
@@ -105,7 +129,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: ``id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``.
 
     Words run over the lower-cased text; null and empty texts have none. ``spans`` are the fuzzy notices
-    (label, code-point range, edits). ``score`` is 1 with an exact phrase, else the best notice's share
+    (label, code-point range, edits) in the order of their starts; notices that overlap are all given. ``score`` is 1 with an exact phrase, else the best notice's share
     of unedited characters, 0 without one.
     """
     import pyarrow as pa

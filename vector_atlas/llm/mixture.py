@@ -26,16 +26,39 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 
 
+def _id(id_col: str):
+    return F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+
+
 def weighed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, quality=None) -> DataFrame:
-    """``docs`` plus ``__s`` (source key, null last), ``size``, ``__key``. ``quality``: a positive column;
-    by default the share of plain words."""
+    """``docs`` plus ``__s`` (source key, null last), ``size``, ``__quality`` and ``__id``, a digest of id and
+    text. ``quality``: a positive column; by default the share of plain words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     quality = (1 + F.regexp_count(text, F.lit(PLAIN))) / (1 + size) if quality is None else quality
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), _id(id_col), F.lit(":"), F.md5(text.cast("binary"))))
     source = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
-    return docs.withColumns({"__s": source, "size": size, "__key": -F.log(u) / quality, "__id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
+    return docs.withColumns({"__s": source, "size": size, "__quality": quality, "__id": digest})
+
+
+def occurrences(narrow: DataFrame, row_col: str) -> DataFrame:
+    """``row_col, __nth``: rows equal in source, id and text, numbered from 1, in buckets of ``row_col``; such rows only."""
+    again = materialise(narrow.groupBy("__s", "__id").agg(F.count("*").alias("n")).where("n > 1").select("__s", "__id"), "repeated")
+    same = narrow.join(sized(again), ["__s", "__id"], "left_semi").select("__s", "__id", row_col, F.pmod(F.xxhash64(row_col), F.lit(BUCKETS)).alias("cell"))
+    same = materialise(same, "repeats")
+    cells = same.groupBy("__s", "__id", "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__s", "__id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = materialise(cells.select("__s", "__id", "cell", F.coalesce(before, F.lit(0)).alias("before")), "cells")
+    nth = F.row_number().over(Window.partitionBy("__s", "__id", "cell").orderBy(row_col))
+    numbered = same.withColumn("nth", nth).join(cells, ["__s", "__id", "cell"])
+    return materialise(numbered.select(row_col, (F.col("before") + F.col("nth")).alias("__nth")), "occurrences")
+
+
+def keyed(rows: DataFrame, nth: DataFrame, row_col: str) -> DataFrame:
+    """``rows`` plus the exponential key of each row, drawn from its digest and its number among its equals."""
+    rows = rows.join(sized(nth), row_col, "left").withColumn("__id", F.md5(F.concat("__id", F.lit(":"), F.coalesce("__nth", F.lit(1)).cast("string"))))
+    u = (F.conv(F.substring("__id", 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return rows.withColumn("__key", -F.log(u) / F.col("__quality")).drop("__nth", "__quality")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -87,21 +110,28 @@ def _copies():
     return F.col("epochs") + F.coalesce(part, F.lit(False)).cast("long")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, seed: int = 23, quality=None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP, seed: int = 23, quality=None, row_col: str | None = None) -> DataFrame:
     """``docs`` plus ``size, source_size, target, copies``: how often the mix takes each document.
 
-    A null or empty text has size 0; a null source is a source of its own, the last. Rows with equal id,
-    source and text share their fate. Reruns agree: keys come from digests of the ids.
+    A null or empty text has size 0; a null source is a source of its own, the last. Keys come from digests
+    of id and text, so reruns agree; rows equal in source, id and text are numbered and draw a key each, so a
+    source of such rows meets its target too (which of them are taken more often is left open). ``row_col``
+    names a column that tells rows apart; without it, ``docs`` are written with one. Columns of ``docs``
+    named ``size``, ``source_size``, ``target`` or ``copies`` are replaced. No document gives no row.
     """
+    own = row_col or "__row"
+    docs = docs.drop("size", "source_size", "target", "copies")
+    if row_col is None:
+        docs = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
     rows = weighed(docs, id_col, text_col, source_col, seed, quality)
-    narrow = materialise(rows.select("__s", "__id", "size", "__key"), "weighed")
-    return mix_weighed(rows, narrow, weights, cap)
+    narrow = materialise(rows.select(own, "__s", "__id", "size", "__quality"), "weighed")
+    nth = occurrences(narrow, own)
+    return mix_keyed(keyed(rows, nth, own), keyed(narrow, nth, own), weights, cap).drop(own)
 
 
-def mix_weighed(rows: DataFrame, narrow: DataFrame | None = None, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``mix`` for rows that ``weighed`` has made; ``narrow`` is a written copy of its own columns, if
-    ``rows`` itself is not a written table."""
-    cuts = materialise(plan(rows if narrow is None else narrow, weights, cap), "mixture")
+def mix_keyed(rows: DataFrame, narrow: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``mix`` for rows with keys; ``narrow`` are the same rows without their texts."""
+    cuts = materialise(plan(narrow, weights, cap), "mixture")
     return rows.join(sized(cuts), "__s").withColumn("copies", _copies()).drop("__s", "__key", "__id", "epochs", "cut_key", "cut_id", "inside", "bucket")
 
 

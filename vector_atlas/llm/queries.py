@@ -116,10 +116,12 @@ def _(spark, d):
 
 
 _MIX_SQL = r"""
-with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
+with numbered as (select *, row_number() over (partition by source, doc_id, coalesce(text, '') order by doc_id) nth from documents),
+sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
   len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+[.,]?[\x20\x0A]')) plain,
-  cast('0x' || substr(md5('23:' || cast(doc_id as varchar)), 1, 12) as bigint) h, coalesce('0' || source, '1') s from documents),
-keyed as (select *, -ln((h + 0.5::double) / 281474976710656::double) / ((1 + plain)::double / (1 + size)) k from sized),
+  md5(concat(md5(concat('23:', coalesce('i' || cast(doc_id as varchar), 'n'), ':', md5(coalesce(text, '')))), ':', nth)) g, coalesce('0' || source, '1') s from numbered),
+hashed as (select *, cast('0x' || substr(g, 1, 12) as bigint) h from sized),
+keyed as (select *, -ln((h + 0.5::double) / 281474976710656::double) / ((1 + plain)::double / (1 + size)) k from hashed),
 sources as (select s, sum(size)::bigint source_size from keyed group by s),
 weights as (select *, [5, 2, 1][1 + (row_number() over (order by s) - 1) % 3] w, 3 * source_size most from sources),
 levels as (select *, most::double / w lev from weights),
@@ -128,18 +130,20 @@ water as (select *, (sum(source_size) over () - coalesce(sum(most) over b, 0))::
 aims as (select s, source_size, case when lev <= wat then most::double else w * max(case when lev > wat then wat end) over () end target from water),
 parts as (select *, case when source_size > 0 then floor(target / source_size + 1e-9) else 0 end epochs from aims),
 run as (select doc_id, size, source_size, target, epochs, greatest(0, target - epochs * source_size) rest,
-  sum(size) over (partition by s order by k, cast(doc_id as varchar) rows unbounded preceding) upto from keyed join parts using (s))
+  sum(size) over (partition by s order by k, g rows unbounded preceding) upto from keyed join parts using (s))
 select doc_id, cast(size as bigint) size, source_size, target,
   cast(size * (epochs + case when rest > 0 and 2 * upto - size <= 2 * rest then 1 else 0 end) as bigint) taken from run"""
 
 
 @bind("op4_weighted_mixture", _MIX_SQL)
 def _(spark, d):
-    from vector_atlas.llm.mixture import mix_weighed, weighed
+    from vector_atlas.llm.mixture import keyed, mix_keyed, occurrences, weighed
     from vector_atlas.session import materialise
 
     rows = weighed(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "text", "source", seed=23)
-    mixed = mix_weighed(materialise(rows.drop("text"), "weighed"))
+    rows = materialise(rows.drop("text").withColumn("row", F.monotonically_increasing_id()), "weighed")
+    rows = keyed(rows, occurrences(rows, "row"), "row")
+    mixed = mix_keyed(rows, rows)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -156,7 +160,8 @@ def _(spark, d):
 def _(spark, d):
     from vector_atlas.llm.licenses import scan_licenses
 
-    return scan_licenses(table(spark, d, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")), s["edits"].cast("string")))
+    return scan_licenses(table(spark, d, "documents")).withColumn("spans", F.array_join(spans, ",")).withColumnRenamed("id", "doc_id")
 
 
 @bind("op2_path_templates")
@@ -167,16 +172,16 @@ def _(spark, d):
 
 
 _CHAT_SQL = r"""
-with turns as (select conv_id, turn, turn // 256 part, coalesce(role, 'unknown') role, replace(coalesce(text, ''), '<|', '< |') text from conversations),
+with turns as (select conv_id, turn, coalesce(role, 'unknown') role, replace(coalesce(text, ''), '<|', '< |') text from conversations),
 seen as (select t.*, s.perspective from turns t join (select distinct conv_id, role perspective from turns where role <> 'system') s using (conv_id)),
 heads as (select *, '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
   else 'user name=' || replace(role, '<|', '< |') end || chr(10) head from seen),
 placed as (select *, sum(length(head) + length(text) + 11) over w - length(text) - 11 a from heads
-  window w as (partition by conv_id, perspective, part order by turn, role, text rows unbounded preceding))
-select conv_id, perspective, cast(part as bigint) part, count(*) n_turns,
-  string_agg(head || text || '<|im_end|>' || chr(10), '' order by turn, role, text) rendered,
-  coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(text) as bigint), ',' order by turn, role, text) filter (where role = perspective), '') masks
-from placed group by conv_id, perspective, part"""
+  window w as (partition by conv_id, perspective order by turn nulls first, role, text rows unbounded preceding))
+select conv_id, perspective, count(*) n_turns,
+  string_agg(head || text || '<|im_end|>' || chr(10), '' order by turn nulls first, role, text) rendered,
+  coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(text) as bigint), ',' order by turn nulls first, role, text) filter (where role = perspective), '') masks
+from placed group by conv_id, perspective"""
 
 
 @bind("op6_perspective_rotation", _CHAT_SQL)

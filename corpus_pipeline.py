@@ -1,12 +1,13 @@
 """From raw documents to training shards: five stages, each reading what the one before has written.
 
-Every stage keeps whole rows. Decisions come back by key: the document's id, or a hash of its text
-where the id is null. Rows that share a key stand or fall together.
+Every stage keeps whole rows. A row's key is its place, the number of its file and its row there, so
+rows with null or repeated ids are told apart and judged one by one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vector_atlas.llm.decontaminate import decontaminate
@@ -24,7 +25,18 @@ NEAR_PERCENT = 80
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """``docs`` plus the place of each row as ``KEY``; rows that come from no file are written first."""
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        placed = docs.withColumns({"__file": file, "__row": row})
+    except AnalysisException:
+        docs = materialise(docs, "rows")
+        placed = docs.withColumns({"__file": file, "__row": row})
+    files = materialise(placed.select("__file").distinct(), "files")
+    # one row per file
+    files = files.withColumn("__number", F.row_number().over(Window.orderBy("__file")).cast("long"))
+    key = F.shiftleft("__number", 40) + F.col("__row")
+    return placed.join(sized(files), "__file").withColumn(KEY, key).drop("__file", "__row", "__number")
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -45,15 +57,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, also of rows that repeat an id."""
+    """One document of each group of near-duplicates: the one with the smallest id, null ids last, of
+    equal ids the first row. Rows without words are no near-duplicates of anything and stay."""
     keyed = _keyed(docs)
     found = near_duplicates(keyed, KEY, "text", MinMaxConfig(percent=NEAR_PERCENT))
-    kept = _without(keyed, found.where(~F.col("kept")).select(KEY))
-    again = materialise(keyed.groupBy(KEY).count().where("count > 1").select(KEY), "repeated")
-    if again.limit(1).count():
-        own = kept.join(sized(again), KEY, "left_semi").dropDuplicates([KEY])
-        kept = kept.join(sized(again), KEY, "left_anti").unionByName(own)
-    return kept.select(*docs.columns)
+    found = materialise(found.select(KEY, "component_id"), "grouped")
+    shared = materialise(found.where(F.col(KEY) != F.col("component_id")).select("component_id").distinct(), "groups")
+    members = found.join(sized(shared), "component_id", "left_semi")
+    members = materialise(keyed.select(KEY, "doc_id").join(sized(members), KEY), "group_members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("first"))
+    dropped = members.join(first.select("component_id", F.col(f"first.{KEY}").alias("stays")), "component_id").where(F.col(KEY) != F.col("stays"))
+    return _without(keyed, dropped.select(KEY)).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +79,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: documents as often as the mix takes them."""
-    rows = docs.select(F.struct("*").alias("row"), *[F.col(c) for c in ("doc_id", "text", "source")])
-    return repeat(mix(rows)).select("row.*")
+    rows = _keyed(docs).select(F.struct(*docs.columns).alias("row"), KEY, *[F.col(c) for c in ("doc_id", "text", "source")])
+    return repeat(mix(rows, row_col=KEY)).select("row.*")
 
 
 def interleave_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,6 +143,16 @@ def test_shards_on_odd_rows(spark):
     assert shards.shard_rows(table(spark, [])).count() == 0
 
 
+def test_many_sources_of_one_document_and_rows_without_ids(spark):
+    rows = [(i, "t", f"s{i}") for i in range(300)] + [(None, "same", "x")] * 100
+    placed = shards.shard_rows(table(spark, rows)).collect()
+    assert len(placed) == 400 and Counter(r["shard"] for r in placed) == {s: 25 for s in range(16)}
+    assert sorted((r["shard"], r["slot"]) for r in placed) == [(s, p) for s in range(16) for p in range(25)]
+    # the hot source is spread like the whole, and the sources of one document lie in its middle
+    assert max(Counter(r["shard"] for r in placed if r["source"] == "x").values()) <= 25
+    assert shards.shard_rows(table(spark, [])).columns[-2:] == ["shard", "slot"]
+
+
 # --- mixture --------------------------------------------------------------------------------------
 
 

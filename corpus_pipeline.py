@@ -85,7 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def interleave_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place there."""
-    return shard_rows(docs, SHARDS)
+    return shard_rows(_keyed(docs), SHARDS, row_col=KEY)
 
 
 STAGES = [

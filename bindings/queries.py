@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.registry import bind
-from bindings.roles import EXCLUDED, TAXONOMY, Tables
+from bindings.roles import EXCLUDED, TAXONOMY, VIEWS, Tables, with_views
 from vector_atlas.config import (
     ClusterConfig, CommunityConfig, EmbeddingConfig, FilterConfig, KnnConfig, LayoutConfig, PlaylistConfig,
 )
@@ -374,17 +374,19 @@ def _(spark, d):
 
 @bind(
     "parse_ref_id",
-    """select p_partkey, case when p_type in ('PROMO', 'SMALL', 'LARGE') then 'k' || p_partkey else 'k' || p_partkey end track_id,
-      case when p_type = 'LARGE' then 'https://open.spotify.com/track/k' || p_partkey || '?si=1'
-        when p_type = 'SMALL' then 'spotify:track:k' || p_partkey
-        when p_type = 'PROMO' then 'k' || p_partkey else 'k' || p_partkey end playlist_id from part""",
+    """select p_partkey, case p_type when 'PROMO' then 'https://open.spotify.com/playlist/k' || p_partkey || '?si=2' when 'ECONOMY' then 'spotify:playlist:k' || p_partkey
+        else 'k' || p_partkey end track_id,
+      case p_type when 'LARGE' then 'https://open.spotify.com/track/k' || p_partkey || '?si=1' when 'SMALL' then 'spotify:track:k' || p_partkey
+        else 'k' || p_partkey end playlist_id from part""",
 )
 def _(spark, d):
-    key = F.concat(F.lit("k"), F.col("p_partkey").cast("string"))
-    kind = F.col("p_type")
+    """Links and URIs of tracks and of playlists, and plain ids, each read as a track's and as a playlist's."""
+    key, kind = F.concat(F.lit("k"), F.col("p_partkey").cast("string")), F.col("p_type")
     ref = (
         F.when(kind == "LARGE", F.concat(F.lit(" https://open.spotify.com/track/"), key, F.lit("?si=1 ")))
         .when(kind == "SMALL", F.concat(F.lit("spotify:track:"), key))
+        .when(kind == "PROMO", F.concat(F.lit("https://open.spotify.com/playlist/"), key, F.lit("?si=2")))
+        .when(kind == "ECONOMY", F.concat(F.lit("\tspotify:playlist:"), key))
         .otherwise(F.concat(F.lit("  "), key, F.lit(" ")))
     )
     return Tables(spark, d).part.select(
@@ -697,28 +699,48 @@ def _(spark, d):
     return joins.corpus_match_exact(seeds, t.tracks()).select("p_partkey", "corpus_id")
 
 
+#: Ratios of the names in ``raw(left_name, right_name)``, from the checked SQL of ``token_set_ratio``.
+_RATIOS = "pairs as" + _TOKEN_SET_SQL.split("pairs as", 1)[1].rsplit("select left_name, right_name, round(", 1)[0].rstrip() + """,
+  ratios as (select left_name, right_name, case when l = '' or r = '' then 0.0 when contained then 100.0 else greatest(edit, more_a, more_b) end ratio from scored)"""
+
+
 @bind(
     "best_match",
-    """select song_id, position, score from (select l_orderkey song_id, l_linenumber * 100000 + l_partkey position,
-        (l_quantity * 2 * 0.5 + (100 - l_discount * 400) * 0.5) score,
-        row_number() over (partition by l_orderkey order by (l_quantity * 2 * 0.5 + (100 - l_discount * 400) * 0.5) desc,
-          coalesce(case when l_returnflag <> 'A' then l_suppkey end, -1) desc, l_linenumber * 100000 + l_partkey) n
-      from lineitem where l_quantity * 2 >= 80 and 100 - l_discount * 400 >= 80) where n = 1""",
+    """with asked as (select p_partkey song_id, p_brand || ' orchestra' qa, p_name || ' ' || lower(p_type) qt, p_name, p_type, p_brand, p_size, unnest([1, 2, 3, 4]) position from part),
+    found as (select song_id, qa, qt, position, case position when 1 then p_brand || ' orchester' when 2 then p_brand || ' ensemble' when 3 then 'the ' || p_brand || ' orchestras' else p_brand end ca,
+      case position when 1 then p_name || ' live ' || lower(p_type) || 's' when 2 then p_name when 3 then p_name || ' remix ' || lower(p_type) else substr(p_name, 1, length(p_name) - 2) || lower(p_type) end ct,
+      case when song_id % 3 = 0 then null else (position * p_size) % 7 end rank from asked),
+    raw as (select qa left_name, ca right_name from found union all select qt, ct from found), """ + _RATIOS + """,
+    rated as (select f.*, a.ratio artist_ratio, t.ratio title_ratio, 0.5 * a.ratio + 0.5 * t.ratio score from found f join ratios a on a.left_name = qa and a.right_name = ca join ratios t on t.left_name = qt and t.right_name = ct),
+    placed as (select *, row_number() over (partition by song_id order by round(score, 9) desc, coalesce(rank, -1) desc, position) n from rated where artist_ratio >= 80 and title_ratio >= 80)
+    select song_id, cast(position as bigint) position, round(score, 4) score, round(artist_ratio, 4) artist_score, round(title_ratio, 4) title_score from placed where n = 1""",
 )
 def _(spark, d):
-    """Order lines as candidates with given ratios."""
-    rows = Tables(spark, d).lineitem.select(
-        F.col("l_orderkey").alias("song_id"),
-        (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("position"),
-        (F.col("l_quantity") * 2).alias("artist_score"),
-        (100 - F.col("l_discount") * 400).alias("title_score"),
-        F.when(F.col("l_returnflag") != "A", F.col("l_suppkey")).alias("cand_rank"),
-    )
-    return linking.pick_best(linking.score_candidate(rows), "song_id").select("song_id", "position", "score")
+    """Four spellings of each part's brand and name, some above the thresholds and some below."""
+    part = Tables(spark, d).part
+    kind, brand, name, size = F.lower("p_type"), F.col("p_brand"), F.col("p_name"), F.col("p_size")
+    spellings = [
+        (F.concat(brand, F.lit(" orchester")), F.concat(name, F.lit(" live "), kind, F.lit("s"))),
+        (F.concat(brand, F.lit(" ensemble")), name),
+        (F.concat(F.lit("the "), brand, F.lit(" orchestras")), F.concat(name, F.lit(" remix "), kind)),
+        (brand, F.concat(F.substr(name, F.lit(1), F.length(name) - 2), kind)),
+    ]
+    found = F.array(*[
+        F.struct(
+            F.lit(n + 1).alias("position"),
+            F.struct(F.struct(artist.alias("name")).alias("artist"), title.alias("title"), F.when(F.col("p_partkey") % 3 != 0, ((n + 1) * size) % 7).alias("rank")).alias("candidate"))
+        for n, (artist, title) in enumerate(spellings)
+    ])
+    queries = part.select(F.col("p_partkey").alias("song_id"), F.concat(brand, F.lit(" orchestra")).alias("artist"), F.concat(name, F.lit(" "), kind).alias("title"))
+    candidates = part.select(F.col("p_partkey").alias("song_id"), F.explode(found).alias("c")).select("song_id", "c.position", "c.candidate")
+    best = linking.best_match(queries, candidates)
+    return best.select("song_id", F.col("position").cast("long").alias("position"), *[F.round(c, 4).alias(c) for c in ("score", "artist_score", "title_score")])
 
 
 _MATCHED = """select t.song_id, b.id is not null matched, coalesce(b.id, -1) deezer_id, b.artist deezer_artist, b.cand_title deezer_title,
-  coalesce(cast(b.rank as bigint), -1) rank, case when b.id is not null then 100.0 end score
+  'I' || b.id isrc, cast(null as varchar) link, coalesce(cast(b.rank as bigint), -1) rank, coalesce(cast(b.p_size as bigint), -1) duration, 'c/' || b.id cover_small,
+  """ + ", ".join(f"cast(null as varchar) {c}" for c in ("cover_medium", "cover_big", "cover_xl", *(f"artist_picture_{s}" for s in ("small", "medium", "big", "xl")))) + """,
+  case when b.id is not null then 100.0 end score, case when b.id is not null then 100.0 end artist_score, case when b.id is not null then 100.0 end title_score
   from tracks t left join catalogue_best b on b.artist = t.artist and b.title = t.title where t.artist is not null"""
 
 
@@ -726,7 +748,7 @@ _MATCHED = """select t.song_id, b.id is not null matched, coalesce(b.id, -1) dee
 def _(spark, d):
     t = Tables(spark, d)
     rows, _ = linking.match_catalogue(t.tracks(), t.catalogue())
-    return rows.na.fill(-1, ["deezer_id", "rank"]).select("song_id", "matched", "deezer_id", "deezer_artist", "deezer_title", "rank", "score")
+    return rows.na.fill(-1, ["deezer_id", "rank", "duration"])
 
 
 @bind("knn_join", "select src, dst, round(score, 6) score, rank from knn10", using="knn10")
@@ -915,10 +937,16 @@ def _seed_rows(t: Tables):
     return corpus, materialise(recommend.seed_vectors(resolved, t.catalogue_vectors(), corpus), "seed-vectors")
 
 
-@bind("retrieve_pool", "select cast(request_id as varchar) request_id, item_id, round(score, 6) score from pool", using="pool")
+@bind(
+    "retrieve_pool",
+    """, plays as (select r.request_id, r.catalogue_id, c.corpus_id from resolved r left join corpus_names c on c.a = lower(trim(r.artist)) and c.t = lower(trim(r.title))),
+    support as (select p.request_id, h.item_id, count(*) support from plays p join seed_hits h on h.catalogue_id = p.catalogue_id and h.corpus_id is not distinct from p.corpus_id group by 1, 2)
+    select cast(p.request_id as varchar) request_id, p.item_id, round(score, 6) score, support from pool p join support s on s.request_id = p.request_id and s.item_id = p.item_id""",
+    using="pool",
+)
 def _(spark, d):
     corpus, seeds = _seed_rows(Tables(spark, d))
-    return ranking.retrieve_pool(seeds, corpus.vectors).select("request_id", "item_id", *r6("score"))
+    return ranking.retrieve_pool(seeds, corpus.vectors).select("request_id", "item_id", *r6("score"), "support")
 
 
 @bind("recent_seeds", "select user_id, item_id, position from seeds20", using="seeds20")
@@ -1525,15 +1553,14 @@ def _(spark, d):
 
 @bind(
     "seed_vectors",
-    """select distinct cast(request_id as varchar) request_id, catalogue_id || ':' || coalesce(corpus_id, '') seed_id, corpus_id,
-      round(u[1], 6) first_value, round(list_inner_product(u, u), 6) square from seed_rows""",
+    """select request_id, seed_id, corpus_id, pos, round(val, 6) val from (select cast(request_id as varchar) request_id, catalogue_id || ':' || coalesce(corpus_id, '') seed_id, corpus_id,
+      unnest(u) val, generate_subscripts(u, 1) - 1 pos from (select distinct request_id, catalogue_id, corpus_id, u from seed_rows))""",
     using="seed_rows",
 )
 def _(spark, d):
     _, rows = _seed_rows(Tables(spark, d))
-    return rows.select(
-        "request_id", "seed_id", "corpus_id", F.round(F.col("embedding")[0], 6).alias("first_value"), F.round(arrays.dot("embedding", "embedding"), 6).alias("square")
-    ).distinct()
+    cells_ = rows.select("request_id", "seed_id", "corpus_id", F.posexplode("embedding").alias("pos", "val"))
+    return cells_.select("request_id", "seed_id", "corpus_id", F.col("pos").cast("long").alias("pos"), F.round("val", 6).alias("val")).distinct()
 
 
 @bind(
@@ -1551,18 +1578,33 @@ def _(spark, d):
 
 @bind(
     "ranking_payload",
-    """select cast(request_id as varchar) request_id, count(*) n_candidates, arg_min(item_id, (-similarity, item_id)) first_id from evidence group by 1""",
-    using="evidence",
+    """, intents as (select cast(request_id as varchar) request_id, 'tracks in the spirit of: ' ||
+      string_agg(coalesce(nullif(artist, ''), '?') || ' - ' || coalesce(title, ''), '; ' order by position) intent from requests where position <= 5 group by 1),
+    listed as (select cast(request_id as varchar) request_id, string_agg(coalesce(artist, '-') || '/' || coalesce(title, '-'), ';' order by position) seeds from requests group by 1)
+    select e.*, intent, seeds from (select cast(request_id as varchar) request_id, row_number() over (partition by request_id order by similarity desc, item_id) - 1 pos, item_id id,
+      title, artist, valence, arousal, similarity, coalesce(replace(style, ', ', '|'), '') style, coalesce(mood, '') mood, coalesce(theme, '') theme from evidence) e
+      join intents using (request_id) join listed using (request_id)""",
+    using="evidence requests",
 )
 def _(spark, d):
+    """The documents, read back field by field."""
     t = Tables(spark, d)
     requests = _requests(t)
     payload = recommend.ranking_payload(
         recommend.describe_seeds(requests), _evidence(t)[1],
         requests.select("request_id", "position", F.col("artists")[0].alias("artist"), "title"),
     )
-    listed = F.from_json(F.get_json_object("payload", "$.candidates"), "array<struct<id:string>>")
-    return payload.select("request_id", F.size(listed).cast("long").alias("n_candidates"), F.get(listed, F.lit(0))["id"].alias("first_id"))
+    tags_ = ",".join(f"{c}:array<string>" for c in recommend.EVIDENCE_TAGS)
+    shape = (
+        "struct<intent:string,seeds:array<struct<artist:string,title:string>>,"
+        f"candidates:array<struct<id:string,title:string,artist:string,valence:double,arousal:double,similarity:double,{tags_}>>>"
+    )
+    read = payload.select("request_id", F.from_json("payload", shape).alias("p"))
+    seeds = F.array_join(F.transform("p.seeds", lambda x: F.concat(F.coalesce(x["artist"], F.lit("-")), F.lit("/"), F.coalesce(x["title"], F.lit("-")))), ";")
+    rows = read.select("request_id", F.col("p.intent").alias("intent"), seeds.alias("seeds"), F.posexplode("p.candidates").alias("pos", "c"))
+    return rows.select(
+        "request_id", F.col("pos").cast("long").alias("pos"), *[F.col(f"c.{c}").alias(c) for c in ("id", "title", "artist", "valence", "arousal", "similarity")],
+        *[F.array_join(f"c.{c}", "|").alias(c) for c in recommend.EVIDENCE_TAGS], "intent", "seeds")
 
 
 _RANKED = """, ranked as (select request_id, item_id, similarity fit, row_number() over (partition by request_id order by similarity desc, item_id) position from evidence)"""
@@ -1655,6 +1697,39 @@ def _(spark, d):
     return _shown(found.recommendations)
 
 
+_PLAYLIST_SQL = _RANKED + """, kept as (select request_id, item_id, fit, row_number() over (partition by request_id order by position, item_id) position
+      from ranked where fit >= 0.45) """ + _SHOWN.format(rows="kept") + " where r.position <= 20"
+
+
+def _with_seeds(sql: str, seeds: str) -> str:
+    """The SQL of the playlist flow with other seeds than the recent plays."""
+    whole = with_views("evidence tracks membership labels3", sql)
+    assert VIEWS["seeds20"] in whole
+    return whole.replace(VIEWS["seeds20"], seeds)
+
+
+def _playlist(t: Tables, seeds):
+    found = recommend.recommend_playlist(recommend.as_requests(seeds, t.tracks()), t.catalogue(), t.catalogue_vectors(), _corpus(t, True), 20)
+    return _shown(found.recommendations)
+
+
+@bind("recommend_top", _with_seeds(_PLAYLIST_SQL, """select user_id, item_id, position from (select user_id, item_id, row_number() over (partition by user_id order by count(*) desc, item_id) position
+    from history where ts >= (select max(ts) - interval 14 day from history) group by 1, 2) where position <= 20"""))
+def _(spark, d):
+    """Top plays of two weeks as the seeds of each user."""
+    t = Tables(spark, d)
+    return _playlist(t, ranking.top_seeds(t.history(), "medium_term", 20))
+
+
+@bind("recommend_list", _with_seeds(_PLAYLIST_SQL, """select user_id, item_id, position from (select user_id, item_id, row_number() over (partition by user_id order by event_id) position
+    from history) where position <= 20"""))
+def _(spark, d):
+    """The first entries of a list as seeds: each user's events in the order of their ids."""
+    t = Tables(spark, d)
+    entries = t.events.select("user_id", F.get_json_object("props", "$.k").alias("item_id"), F.col("event_id").alias("position"))
+    return _playlist(t, ranking.playlist_seeds(entries, 20))
+
+
 @bind("preprocess", "select song_id, quadrant, artist, title, mood, mood_all, genre, genre_main, theme, style from marked where drop_reason is null", using="marked")
 def _(spark, d):
     t = Tables(spark, d)

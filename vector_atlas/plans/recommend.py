@@ -74,6 +74,16 @@ def more_like_this(ids: DataFrame, corpus: Corpus, k: int = 10, missing: str = "
 # --- seeds -----------------------------------------------------------------------------------
 
 
+def as_requests(plays: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``request_id, position, artists, title``: ``plays(user_id, item_id, position)`` as one request per user.
+
+    The plays may be recent ones, top ones of a window, or the entries of a list (``ranking``); entries
+    without a track are left out.
+    """
+    named = tracks.select(F.col("song_id").alias("item_id"), F.array("artist").alias("artists"), "title")
+    return plays.join(named, "item_id").select(F.col("user_id").cast("string").alias("request_id"), "position", "artists", "title")
+
+
 def resolve_seeds(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
     """Match ``seeds(request_id, position, artists, title)`` to a catalogue.
 

@@ -444,6 +444,56 @@ def test_templates_tell_deep_paths_apart(spark):
     assert got["one.com", "/"][0] == got["none.com", ""][0] == ""
 
 
+def templates_by_hand(rows, cfg=url_templates.TreeConfig()):
+    """The same tree, one segment after the other, with plain loops."""
+    base = (sum(r[3] for r in rows) + 1) / (sum(r[4] for r in rows) + 2)
+    smooth = lambda b, n, parent: (b + cfg.smoothing * parent) / (n + cfg.smoothing)
+    out = {}
+
+    def differs(part, whole, p_part, p_whole):
+        p = p_part / p_whole if p_whole else 0
+        spread = whole * p * (1 - p)
+        return spread > 0 and max(abs(part - whole * p) - 0.5, 0) ** 2 > cfg.critical * spread
+
+    def visit(host, prefix, rate, members, level):
+        for segments, r in members:
+            if len(segments) == level:
+                out[host, r[1]] = (prefix, rate)
+        on = [(s, r) for s, r in members if len(s) > level]
+        kids = defaultdict(list)
+        for s, r in on:
+            kids[s[level]].append((s, r))
+        total = [sum(r[c] for _, r in on) for c in (2, 3, 4)] + [sum(r[2] for s, r in on if len(s) == level + 1)]
+        named = defaultdict(list)
+        for name, own in kids.items():
+            n, blocked, labelled = (sum(r[c] for _, r in own) for c in (2, 3, 4))
+            ends = sum(r[2] for s, r in own if len(s) == level + 1)
+            alike = not differs(blocked, labelled, total[1], total[2]) and not differs(ends, n, total[3], total[0])
+            named["*" if len(kids) > 1 and alike else name] += own
+        for name, own in named.items():
+            visit(host, f"{prefix}/{name}", smooth(sum(r[3] for _, r in own), sum(r[4] for _, r in own), rate), own, level + 1)
+
+    for host in {r[0] for r in rows}:
+        own = [([s for s in r[1].split("/") if s], r) for r in rows if r[0] == host]
+        visit(host, "", smooth(sum(r[3] for _, r in own), sum(r[4] for _, r in own), base), own, 0)
+    return out
+
+
+def test_templates_equal_plain_loops(spark):
+    rng = random.Random(17)
+    rows = {}
+    for _ in range(140):
+        path = "/long/common/start" * (rng.random() < 0.3) + "".join(f"/{rng.choice('abcdxyz')}" for _ in range(rng.randrange(5))) + "/tail/of/it" * (rng.random() < 0.3)
+        n = rng.randrange(1, 200)
+        labelled = rng.randrange(n + 1) * rng.randrange(2)
+        rows["h%d" % rng.randrange(3), path] = (n, int(labelled * (("/a" in path) * 0.9 + 0.05)), labelled)
+    rows = [(h, p, n, b, k) for (h, p), (n, b, k) in rows.items()]
+    rows += [("deep", "/" + "/".join(f"s{i}" for i in range(400)) + f"/{x}", 30, 30 * (x == "q"), 30) for x in "pq"]
+    shapes = spark.createDataFrame(rows, "host string, shape string, n bigint, blocked bigint, labelled bigint")
+    got = {(r["host"], r["shape"]): (r["template"], round(r["rate"], 9)) for r in url_templates.template_rates(shapes).collect()}
+    assert got == {k: (t, round(x, 9)) for k, (t, x) in templates_by_hand(rows).items()}
+
+
 # --- conversations --------------------------------------------------------------------------------
 
 
@@ -580,6 +630,47 @@ def test_planted_passages_are_found_and_nothing_else(spark):
             assert r["doc_id"] == 31 and r["equal_words"] == 86
 
 
+def test_partial_holders_hide_no_passage(spark):
+    """Each seed of a passage also lies in documents with lower and higher ids that hold parts of it only."""
+    rng = random.Random(31)
+    passage = prose(rng, 80, 10**6)
+    for copies in (1, 9):  # few and many documents per seed
+        docs = [prose(rng, 60, 10**6) for _ in range(4 * copies + 2)]
+        for i in range(copies):
+            docs[i] += passage[:40]
+            docs[copies + i] += passage[35:]
+            docs[2 * copies + 2 + i] += passage[:40]
+            docs[3 * copies + 2 + i] += passage[35:]
+        whole = {2 * copies, 2 * copies + 1}
+        for i in whole:
+            docs[i] = docs[i][:20] + passage + docs[i][20:]
+        got = passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()
+        assert whole <= {r["doc_id"] for r in got} | {r["other_doc_id"] for r in got}
+        assert any({r["doc_id"], r["other_doc_id"]} == whole and r["equal_words"] >= 80 for r in got)
+
+
+def test_recall_of_edited_passages(spark):
+    """Pairs that share a passage of which every so manieth word was changed, dropped or doubled."""
+    rng = random.Random(32)
+    docs, wanted = [], {}
+    for identity in (0.8, 0.85, 0.9, 0.95):
+        for _ in range(40):
+            passage = prose(rng, rng.randrange(70, 140), 10**6)
+            edited = []
+            for w in passage:
+                kind = rng.random()
+                edited += [w] if kind >= 1 - identity else [["new%d" % rng.randrange(10**6)], [], [w, w]][rng.randrange(3)]
+            at = len(docs)
+            docs += [prose(rng, 80, 10**6) + passage + prose(rng, 40, 10**6), prose(rng, 30, 10**6) + edited + prose(rng, 90, 10**6)]
+            wanted.setdefault(identity, set()).add((at + 1, at))
+    got = passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()
+    found = {(r["doc_id"], r["other_doc_id"]) for r in got}
+    recall = {i: len(pairs & found) / len(pairs) for i, pairs in wanted.items()}
+    print(recall)
+    assert found <= set().union(*wanted.values())
+    assert recall[0.95] >= 0.97 and recall[0.9] >= 0.95 and recall[0.85] >= 0.9 and recall[0.8] >= 0.8, recall
+
+
 def test_chains_equal_quadratic_programming():
     import numpy as np
 

@@ -12,12 +12,20 @@ BATCHES = {
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m"),
 }
 
-#: A side is broadcast only after its rows were counted and found to be at most this many.
+#: A side is broadcast only after its rows were counted and found to be at most this many; one with lists or
+#: texts only if they are at most so many bytes as well.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def sized(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows (counted, unless ``rows`` is known)."""
+def sized(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS, weight=None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows (counted, unless ``rows`` is known).
+
+    ``weight``: the bytes of a row's lists and texts; their sum must be at most ``BROADCAST_BYTES``.
+    """
+    if weight is not None:
+        found = df.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+        return F.broadcast(df) if found[0] <= most and found[1] <= BROADCAST_BYTES else df
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows <= most else df
 

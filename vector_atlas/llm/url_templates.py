@@ -1,11 +1,12 @@
 """URL filters with a tree of path templates.
 
 Paths are reduced to shapes first (runs of digits and long hexadecimal runs become wildcards), so the
-tree is built over distinct (host, shape) with counts. Then, level by level, the children of a node
+tree is built over distinct (host, shape) with counts. Then, branch by branch, the children of a node
 that look like the others of the node are merged: a child stays a literal only if its share of blocked
 labels or of paths that end there differs significantly from the pool of its siblings (chi-square with
-the correction for small counts), however many there are. Levels go on until all segments are used up;
-a shape that is alone in its node is finished there in closed form. Each template's blocked share is
+the correction for small counts), however many there are. A stretch without branches is passed in one
+step, so rounds count the branches on a path, not its segments. They go on until all segments are used
+up. Each template's blocked share is
 smoothed towards its parent's, up to the host's and the corpus's; templates above the threshold are
 rejected.
 Labels come from the rules, wherever one fits.
@@ -63,37 +64,41 @@ def shape(path: Column) -> Column:
 def template_rates(shapes: DataFrame, cfg: TreeConfig = TreeConfig()) -> DataFrame:
     """``host, shape, template, rate``; ``shapes``: host, shape, n, blocked, labelled, one row per host and shape."""
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
-    state = shapes.withColumn("segments", segments)
-    top = state.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max(F.size("segments")).alias("d")).first()
+    state = shapes.withColumns({"segments": segments, "prefix": F.lit(""), "at": F.lit(0)})
+    top = state.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     base = ((top["b"] or 0) + 1) / ((top["l"] or 0) + 2)
 
     def smoothed(parent):
         return (F.col("blocked") + cfg.smoothing * parent) / (F.col("labelled") + cfg.smoothing)
 
     hosts = materialise(state.groupBy("host").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")), "hosts")
-    state = state.join(hosts.select("host", smoothed(F.lit(base)).alias("rate")), "host").withColumn("prefix", F.lit(""))
+    state = materialise(state.join(hosts.select("host", smoothed(F.lit(base)).alias("rate")), "host"), "tree")
     done = []
-    for level in range(top["d"] or 0):
-        # shapes that go on at this level; the others keep what they have
-        left = F.size("segments") - level
-        nodes = materialise(state.groupBy("host", "prefix").agg((F.count_if(left > 0) == 1).alias("alone")), "nodes")
-        state = materialise(state.join(nodes, ["host", "prefix"]), "level")
-        rest = F.array_join(F.slice("segments", level + 1, F.greatest(left, F.lit(0))), "/")
-        shrink = F.pow(cfg.smoothing / (F.col("labelled") + cfg.smoothing), left)
-        own = F.col("blocked") / F.col("labelled")
-        alone_rate = F.when(F.col("labelled") == 0, F.col("rate")).otherwise(own + (F.col("rate") - own) * shrink)
-        done.append(state.where(left <= 0).select("host", "shape", F.col("prefix").alias("template"), "rate"))
-        done.append(state.where((left > 0) & F.col("alone")).select("host", "shape", F.concat("prefix", F.lit("/"), rest).alias("template"), alone_rate.alias("rate")))
-        state = state.where((left > 0) & ~F.col("alone")).drop("alone").withColumn("segment", F.get("segments", F.lit(level)))
-        ends = F.sum(F.when(F.size("segments") == level + 1, F.col("n")).otherwise(0))
+    while True:
+        # what all shapes of a node have in common is passed in one step: the common start of the smallest and the
+        # largest of their rests, smoothed once per segment
+        rest = F.slice("segments", F.col("at") + 1, F.size("segments") + 1)
+        nodes = state.groupBy("host", "prefix").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.sum("blocked").alias("nb"), F.sum("labelled").alias("nl"))
+        shorter = F.least(F.size("lo"), F.size("hi"))
+        same = F.transform(F.sequence(F.lit(0), shorter - 1), lambda i: F.get("lo", i) == F.get("hi", i))
+        steps = F.when(shorter == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, shorter)).cast("int")
+        nodes = nodes.withColumn("steps", steps).select("host", "prefix", "steps", F.array_join(F.slice("lo", 1, F.col("steps")), "/").alias("passed"), "nb", "nl")
+        own = F.col("nb") / F.col("nl")
+        shrunk = own + (F.col("rate") - own) * F.pow(cfg.smoothing / (F.col("nl") + cfg.smoothing), F.col("steps"))
+        moved = state.join(materialise(nodes, "nodes"), ["host", "prefix"]).withColumns({
+            "prefix": F.when(F.col("steps") > 0, F.concat("prefix", F.lit("/"), "passed")).otherwise(F.col("prefix")),
+            "rate": F.when(F.col("nl") == 0, F.col("rate")).otherwise(shrunk), "at": F.col("at") + F.col("steps")})
+        state = materialise(moved.drop("steps", "passed", "nb", "nl"), "level")
+        done.append(state.where(F.size("segments") == F.col("at")).select("host", "shape", F.col("prefix").alias("template"), "rate"))
+        state = state.where(F.size("segments") > F.col("at")).withColumn("segment", F.get("segments", F.col("at")))
+        ends = F.sum(F.when(F.size("segments") == F.col("at") + 1, F.col("n")).otherwise(0))
         kids = state.groupBy("host", "prefix", "segment").agg(
             F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), ends.alias("ends"), F.first("rate").alias("rate"))
         kids = materialise(kids, "children")
         pool = materialise(kids.groupBy("host", "prefix").agg(
             F.count("*").alias("p_kids"), *[F.sum(c).alias("p_" + c) for c in ("n", "blocked", "labelled", "ends")]), "pools")
-        if not pool.limit(1).count():
-            state = state.drop("segment")
-            break
+        if pool.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
         def differs(part, whole):
             p = F.try_divide(F.col("p_" + part), F.col("p_" + whole))
@@ -107,10 +112,8 @@ def template_rates(shapes: DataFrame, cfg: TreeConfig = TreeConfig()) -> DataFra
         rates = named.groupBy("host", "node").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.first("rate").alias("parent"))
         rates = materialise(rates.select("host", "node", smoothed(F.col("parent")).alias("node_rate")), "rates")
         names = materialise(named.select("host", "prefix", "segment", "node").join(rates, ["host", "node"]), "names")
-        state = state.join(names, ["host", "prefix", "segment"]).withColumns(
-            {"prefix": F.col("node"), "rate": F.col("node_rate")}).drop("node", "node_rate", "segment")
-    done.append(state.select("host", "shape", F.col("prefix").alias("template"), "rate"))
-    return reduce(DataFrame.unionByName, done)
+        state = materialise(state.join(names, ["host", "prefix", "segment"]).withColumns(
+            {"prefix": F.col("node"), "rate": F.col("node_rate"), "at": F.col("at") + 1}).drop("node", "node_rate", "segment"), "tree")
 
 
 def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, cfg: TreeConfig = TreeConfig()) -> DataFrame:
@@ -118,10 +121,12 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, cfg: TreeCon
 
     Where a rule fits, its verdict holds; else the url's template decides: ``purity`` is its smoothed
     share of blocked labels. Without any label the corpus counts as half blocked and half allowed, and
-    a purity equal to the threshold is allowed.
+    a purity equal to the threshold is allowed. A null url has an empty host and path, like one without
+    ``://``; rows that repeat a url are judged alike and count as often as they occur. Columns of ``pages``
+    with the names of the new ones are replaced. An empty table gives no row.
     """
     host, path = parts(F.col(url_col))
-    seen = pages.withColumns({"host": host, "path": path})
+    seen = pages.drop(*(c for c in ("rule", "verdict", "template", "purity", "rate") if c != url_col)).withColumns({"host": host, "path": path})
     seen = seen.withColumn("__rule", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("__shape", shape(F.col("path")))
     blocked = F.when(F.col("__rule.verdict") == "block", 1).otherwise(0)
     shapes = materialise(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import bind
+from bindings.registry import ORACLES, bind
 from bindings.roles import EXCLUDED, TAXONOMY, VIEWS, Tables, with_views
 from vector_atlas.config import (
     ClusterConfig, CommunityConfig, EmbeddingConfig, FilterConfig, KnnConfig, LayoutConfig, PlaylistConfig,
@@ -210,20 +210,46 @@ def _(spark, d):
     )
 
 
-@bind("audio_listing")
+def _quadrant_files(t: Tables):
+    """A file of lines per quadrant, in the order of the songs."""
+    lines = t.tracks().select("quadrant", "song_id", F.concat("song_id", F.lit(" "), F.coalesce("title", F.lit("?"))).alias("value"))
+    path = scratch_path(t.spark, "listing")
+    lines.repartition("quadrant").sortWithinPartitions("quadrant", "song_id").select("quadrant", "value").write.partitionBy("quadrant").text(path)
+    return lines, path
+
+
+@bind(
+    "audio_listing",
+    "select 'quadrant=' || quadrant quadrant, count(distinct quadrant) n_files, cast(sum(strlen(song_id || ' ' || coalesce(title, '?')) + 1) as bigint) total from tracks group by 1",
+    using="tracks",
+)
 def _(spark, d):
-    return files.audio_listing(spark, d, "*.parquet")
+    """Names and lengths of files that hold the tracks, against the lengths of their rows."""
+    _, path = _quadrant_files(Tables(spark, d))
+    found = files.audio_listing(spark, path, "*.txt")
+    return found.groupBy("quadrant").agg(F.countDistinct("song_id").alias("n_files"), F.sum("length").alias("total"))
 
 
-@bind("checksum_audit")
+@bind(
+    "checksum_audit",
+    """select quadrant, case when quadrant = 'Q2' then repeat('0', 32) else md5(string_agg(song_id || ' ' || coalesce(title, '?') || chr(10), '' order by song_id)) end expected,
+      md5(string_agg(song_id || ' ' || coalesce(title, '?') || chr(10), '' order by song_id)) actual, case when quadrant = 'Q2' then 'mismatch' else 'ok' end status from tracks group by 1
+    union all select 'Q9', repeat('1', 32), null, 'missing'""",
+    using="tracks",
+)
 def _(spark, d):
-    """Files of the table folder against their own sums, and page addresses as absent files."""
-    there = spark.read.format("binaryFile").load(d).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.concat(F.lit(" MD5: "), F.upper(F.md5("content"))).alias("checksum"),
-    )
-    absent = Tables(spark, d).pages.select(F.col("url").alias("name"), F.md5("html").alias("checksum"))
-    return files.checksum_audit(spark, d, there.unionByName(absent))
+    """Sums of the files against sums of the rows they were written from; one expected sum is wrong, one file absent."""
+    lines, path = _quadrant_files(Tables(spark, d))
+    names = materialise(files.audio_listing(spark, path, "*.txt").select(F.substring_index("quadrant", "=", -1).alias("quadrant"), F.concat("song_id", F.lit(".txt")).alias("name")), "names")
+    listed = F.array_sort(F.collect_list(F.struct("song_id", F.concat("value", F.lit("\n")).alias("value"))))  # as long as the file itself
+    sums = lines.groupBy("quadrant").agg(F.md5(F.array_join(listed["value"], "")).alias("sum"))
+    wrong = F.when(F.col("quadrant") == "Q2", F.repeat(F.lit("0"), 32)).otherwise(F.concat(F.lit(" MD5: "), F.upper("sum")))
+    expected = materialise(names.join(sums, "quadrant").select("quadrant", "name", wrong.alias("checksum")), "expected")
+    absent = spark.createDataFrame([("absent.txt", "1" * 32)], "name string, checksum string")
+    audits = [files.checksum_audit(spark, f"{path}/quadrant=Q1", absent, "*.txt").withColumn("quadrant", F.lit("Q9"))]
+    for q in ("Q1", "Q2", "Q3", "Q4"):  # files of one task have one name in all folders
+        audits.append(files.checksum_audit(spark, f"{path}/quadrant={q}", expected.where(F.col("quadrant") == q).select("name", "checksum"), "*.txt").withColumn("quadrant", F.lit(q)))
+    return profile.union_all(audits).select("quadrant", "expected", "actual", "status")
 
 
 def _track_json(part):
@@ -1281,15 +1307,15 @@ def _(spark, d):
     return quality.shepard_rho(points, 20000).select(*r6("shepard_rho"))
 
 
-@bind(
-    "graph_quality",
-    _COMPONENTS.format(graph="mutual3") + _MODULARITY.format(graph="mutual3") + """, d as (select v.item_id, count(e.a) n from vectors v
-      left join (select src a from mutual3 union all select dst from mutual3) e on e.a = v.item_id group by 1)
-    select (select count(*) from d) n_nodes, (select count(*) from mutual3) n_edges, (select round(avg(n), 6) from d) mean_degree,
+def _graph_quality_sql(edges: str) -> str:
+    return _COMPONENTS.format(graph=edges) + _MODULARITY.format(graph=edges) + """, d as (select v.item_id, count(e.a) n from vectors v
+      left join (select src a from EDGES union all select dst from EDGES) e on e.a = v.item_id group by 1)
+    select (select count(*) from d) n_nodes, (select count(*) from EDGES) n_edges, (select round(avg(n), 6) from d) mean_degree,
       (select count(distinct component) from components) n_components, (select round(modularity, 6) from q) modularity,
-      count(*) n_communities, max(n) largest, min(n) smallest from (select community, count(*) n from membership group by 1)""",
-    using="vectors mutual3 membership",
-)
+      count(*) n_communities, max(n) largest, min(n) smallest from (select community, count(*) n from membership group by 1)""".replace("EDGES", edges)
+
+
+@bind("graph_quality", _graph_quality_sql("mutual3"), using="vectors mutual3 membership")
 def _(spark, d):
     t = Tables(spark, d)
     directed = materialise(graph.directed_affinity(neighbours.knn_join(t.vectors(), 3)), "directed")
@@ -1297,12 +1323,36 @@ def _(spark, d):
     return row.withColumns({c: F.round(c, 6) for c in ("mean_degree", "modularity")})
 
 
-@bind("evaluate_all")
+def _as_section(section: str, sql: str) -> str:
+    """The one row of a checked query as metrics."""
+    return f"select '{section}' section, metric, value from (unpivot (select columns(*)::double from ({sql})) on columns(*) into name metric value value)"
+
+
+_SIZES = "select '{section}' section, 'sizes.' || label metric, count(*)::double value from embeddings group by label"
+_LABELS = """select 'coherence' section, metric, value from (select community, unnest([{names}]) metric, unnest([{values}]) value from ({sql}))"""
+_LABEL_VALUES = ("size", *quality.COHERENCE_METRICS)
+
+
+def _evaluation_sql() -> str:
+    whole = with_views("vectors graph10 membership", _graph_quality_sql("graph10"))
+    parts = [
+        _as_section("embed", ORACLES["embedding_sanity"]), _as_section("topology", whole), _SIZES.format(section="topology"),
+        _as_section("cluster", ORACLES["cluster_quality"]), _SIZES.format(section="cluster"), _as_section("coherence", ORACLES["semantic_quality"]),
+        _LABELS.format(
+            names=", ".join(f"'labels.' || community || '.{c}'" for c in _LABEL_VALUES), values=", ".join(f"{c}::double" for c in _LABEL_VALUES), sql=ORACLES["label_coherence"]),
+        _as_section("manifold", ORACLES["projection_quality"]),
+    ]
+    return "select 'bound' model, section, metric, round(value, 4) val from (" + " union all ".join(parts) + ")"
+
+
+@bind("evaluate_all", _evaluation_sql())
 def _(spark, d):
+    """Every metric of every section, against the SQL of the single reports."""
     t = Tables(spark, d)
     edges = materialise(_graph10(t), "edges")
     clusters = materialise(_clusters(t), "clusters")
-    return evaluate.evaluate_all(t.vectors(), edges, clusters, t.tracks(), "bound")
+    rows = evaluate.evaluate_all(t.vectors(), edges, clusters, t.tracks(), "bound")
+    return rows.select("model", "section", "metric", F.round(F.round("value", 6), 4).alias("val"))
 
 
 # --- I. signals ---------------------------------------------------------------------------------

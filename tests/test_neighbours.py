@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vector_atlas.operators import neighbours
 from vector_atlas.operators.neighbours import knn_join, retrieve_top_k
 
 FORMS = {"small index": {}, "blocks": {"side_rows": 30, "block_rows": 40}}
@@ -86,3 +87,24 @@ def test_one_query_with_two_vectors_is_an_error(spark):
     rows = spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "query_id string, embedding array<double>")
     with pytest.raises(ValueError, match="several vectors"):
         retrieve_top_k(rows, rows.withColumnRenamed("query_id", "item_id"), 1)
+
+
+def test_all_against_all_equals_brute_force(spark, monkeypatch):
+    """Vectors without leading directions: no stand-ins, tiles meet all rows. Copies tie at the k-th place."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(500, 40)) * rng.uniform(0.1, 9, size=(500, 1))
+    x[5:30], x[300] = x[4], 0
+    ids = [f"i{i:04d}" for i in rng.permutation(500)]
+    for name, value in (("RUN_ROWS", 200), ("TILE_ROWS", (150, 300)), ("PACK_ROWS", 64)):
+        monkeypatch.setattr(neighbours, name, value)
+
+    def stand_ins(*_):
+        raise AssertionError("stand-ins are as long as the vectors")
+
+    monkeypatch.setattr(neighbours, "_floors", stand_ins)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "item_id string, embedding array<double>").repartition(5)
+    asked = rows.select(F.col("item_id").alias("query_id"), "embedding")
+    found = {(r.query_id, r.item_id): r.score for r in neighbours.nearest(asked, rows, 7, side_rows=10, block_rows=50).collect()}
+    scores = [(x[i] * x).sum(axis=1) for i in range(500)]
+    want = {(ids[i], ids[j]): scores[i][j] for i in range(500) for j in np.lexsort((np.array(ids), -scores[i]))[:7]}
+    assert found == want

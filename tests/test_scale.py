@@ -62,6 +62,20 @@ def test_ranks_of_cells_equal_ranks_of_all_pairs(spark):
     assert few == (int((np.where((rl <= 5) & (rh > 5) & others, rh - 5, 0)).sum()), int((np.where((rh <= 5) & (rl > 5) & others, rl - 5, 0)).sum()))
 
 
+def test_ranks_of_all_pairs_in_tiles(spark, monkeypatch):
+    """Vectors without leading directions, some of them equal: tiles meet all points."""
+    rng = np.random.default_rng(8)
+    x, p = rng.normal(size=(300, 20)), rng.normal(size=(300, 2))
+    x[7], x[40:60], p[30:36] = x[9], x[40], p[30]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(f"i{n:03d}", a.tolist(), b.tolist()) for n, (a, b) in enumerate(zip(u, p))]
+    points = materialise(spark.createDataFrame(rows, "item_id string, u array<double>, p array<double>"), "points")
+    for name, value in (("RUN_ROWS", 120), ("TILE_ROWS", (90, 200)), ("PACK_ROWS", 50)):
+        monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(ranks, "_open_cells", None)  # no cell is looked at
+    assert ranks.rank_excess(points, 5, side_rows=10, block_rows=12) == ranks.rank_excess(points, 5)
+
+
 def test_gram_matrix_of_many_partitions(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 7))

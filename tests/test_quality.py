@@ -89,3 +89,14 @@ def test_failing_items_become_rows(spark):
     rows, meta, failures = V.embed_items(items, EmbeddingConfig("picky"), Picky)
     assert rows.count() == 15 and failures.count() == 5 and failures.first().error == "refused"
     assert len(meta.first()["mean"]) == 32
+
+
+def test_seed_vectors_are_distinct_before_they_are_laid_out(spark):
+    """No aggregate lies over the rows of the exploded vectors."""
+    import bindings.queries  # noqa: F401
+    from bindings.registry import QUERIES
+
+    rows = QUERIES["seed_vectors"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Generate posexplode")[0]
+    assert rows.count() == rows.distinct().count() > 0

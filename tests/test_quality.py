@@ -100,3 +100,12 @@ def test_seed_vectors_are_distinct_before_they_are_laid_out(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Generate posexplode")[0]
     assert rows.count() == rows.distinct().count() > 0
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Their files are small beside their rows; labels of communities are few and may be."""
+    from bindings import queries, roles
+
+    t = roles.Tables(spark, "/root/testdata/sf0.001")
+    for rows in (t.tracks(), queries._requests(t)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()

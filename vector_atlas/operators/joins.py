@@ -95,4 +95,4 @@ def corpus_match_exact(seeds: DataFrame, tracks: DataFrame) -> DataFrame:
     keyed = seeds.withColumn("__artist", F.when(usable, comparable("artist"))).withColumn(
         "__title", F.when(usable, comparable("title"))
     )
-    return keyed.join(names, ["__artist", "__title"], "left").drop("__artist", "__title")
+    return keyed.join(names.hint("merge"), ["__artist", "__title"], "left").drop("__artist", "__title")

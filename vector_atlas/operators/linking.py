@@ -105,7 +105,7 @@ def best_match(queries: DataFrame, candidates: DataFrame, key: str = "song_id",
     weights = options.pop("weights", (ARTIST_WEIGHT, TITLE_WEIGHT))
     pairs = queries.select(
         key, F.col("artist").alias("query_artist"), F.col("title").alias("query_title")
-    ).join(candidates, key)
+    ).join(candidates.hint("merge"), key)
     pairs = pairs.withColumns(
         {
             "cand_artist": F.col("candidate.artist.name"),
@@ -123,7 +123,7 @@ def match_names(asked: DataFrame, candidates: DataFrame, **options) -> DataFrame
     names are compared once, whatever the number of rows that carry them.
     """
     names = asked.select("search_key", "artist", "title").distinct().withColumn("name_key", name_key())
-    found = names.select("name_key", "search_key").join(candidates, "search_key").drop("search_key")
+    found = names.select("name_key", "search_key").join(candidates.hint("merge"), "search_key").drop("search_key")
     return best_match(names.select("name_key", "artist", "title"), found, key="name_key", **options)
 
 

@@ -23,7 +23,7 @@ def tag_counts(tracks: DataFrame, membership: DataFrame, columns, group: str = "
     cells = F.array(*[F.struct(F.lit(c).alias("column"), split_tags(c).alias("tags")) for c in present])
     return (
         tracks.select(F.col("song_id").alias("item_id"), cells.alias("cells"))
-        .join(membership.select("item_id", group), "item_id")
+        .join(membership.select("item_id", group).hint("merge"), "item_id")
         .select(group, F.explode("cells").alias("c"))
         .select(group, "c.column", F.explode("c.tags").alias("tag"))
         .groupBy(group, "column", "tag")
@@ -42,7 +42,7 @@ def top_tags(tracks: DataFrame, membership: DataFrame, columns=("mood_all",), to
         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "tag")))["tag"], ", ").alias("label"))
     )
     known = (
-        membership.join(tracks.select(F.col("song_id").alias("item_id")), "item_id", "left_semi")
+        membership.join(tracks.select(F.col("song_id").alias("item_id")).hint("merge"), "item_id", "left_semi")
         .select("community")
         .distinct()
     )

@@ -73,7 +73,7 @@ def retrieve_pool(seeds: DataFrame, index: DataFrame, config: PlaylistConfig = P
     )
     hits = retrieve_top_k(queries, index, config.per_seed, exclude, **limits)
     scored = seeds.select("request_id", "seed_id").join(
-        hits.select(F.col("query_id").alias("seed_id"), "item_id", "score"), "seed_id"
+        hits.select(F.col("query_id").alias("seed_id"), "item_id", "score").hint("shuffle_hash"), "seed_id"
     )
     return pool_max(scored)
 
@@ -81,7 +81,7 @@ def retrieve_pool(seeds: DataFrame, index: DataFrame, config: PlaylistConfig = P
 def rank_checks(ranking: DataFrame, pool: DataFrame) -> DataFrame:
     """One row: number of ranking rows, and of rows whose id is not in the request's pool."""
     known = pool.select("request_id", "item_id").distinct().withColumn("__known", F.lit(True))
-    return ranking.join(known, ["request_id", "item_id"], "left").agg(
+    return ranking.join(known.hint("merge"), ["request_id", "item_id"], "left").agg(
         F.count("*").alias("n_rows"), F.count(F.when(F.col("__known").isNull(), 1)).alias("n_unknown")
     )
 

@@ -1,7 +1,8 @@
 """Recommendation jobs over tables of requests.
 
 Many requests run as one plan: seeds, retrieval, evidence, ranking and decoration are
-joins and per-request limits. A ranker from outside may be plugged in between.
+joins and per-request limits. A ranker from outside may be plugged in between. Tables that grow with
+the input carry a join hint: their files are small beside their rows, so Spark would broadcast them.
 """
 
 from __future__ import annotations
@@ -52,12 +53,12 @@ def decorate_results(results: DataFrame, corpus: Corpus, missing: str = "") -> D
     tracks = resolve_audio_path(corpus.tracks, corpus.audio_dir).select(
         F.col("song_id").alias("item_id"), shown("artist").alias("artist"), shown("title").alias("title"), "path"
     )
-    named = results.join(tracks, "item_id", "left")
+    named = results.join(tracks.hint("merge"), "item_id", "left")
     named = named.withColumns({c: F.coalesce(c, F.lit(missing)) for c in ("artist", "title")})
     if corpus.clusters is None:
         return named.withColumn("region", F.lit(""))
     regions = corpus.clusters.select(F.col("song_id").alias("item_id"), F.col("label").alias("region"))
-    return named.join(regions, "item_id", "left").withColumn("region", F.coalesce("region", F.lit("")))
+    return named.join(regions.hint("merge"), "item_id", "left").withColumn("region", F.coalesce("region", F.lit("")))
 
 
 def more_like_this(ids: DataFrame, corpus: Corpus, k: int = 10, missing: str = "?", **limits) -> DataFrame:
@@ -81,7 +82,7 @@ def as_requests(plays: DataFrame, tracks: DataFrame) -> DataFrame:
     without a track are left out.
     """
     named = tracks.select(F.col("song_id").alias("item_id"), F.array("artist").alias("artists"), "title")
-    return plays.join(named, "item_id").select(F.col("user_id").cast("string").alias("request_id"), "position", "artists", "title")
+    return plays.join(named.hint("merge"), "item_id").select(F.col("user_id").cast("string").alias("request_id"), "position", "artists", "title")
 
 
 def resolve_seeds(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def seed_vectors(resolved: DataFrame, vectors: DataFrame, corpus: Corpus) -> Dat
     needed = vectors.join(wanted.select("catalogue_id").distinct(), "catalogue_id", "left_semi")
     prepared = prepare_seed_vectors(needed, corpus.meta)
     return (
-        wanted.join(prepared, "catalogue_id")
+        wanted.join(prepared.hint("shuffle_hash"), "catalogue_id")
         .join(named, ["artist", "title"], "left")
         .select(
             "request_id",
@@ -181,7 +182,7 @@ def build_evidence(pool: DataFrame, tracks: DataFrame) -> DataFrame:
         clean_number("arousal").alias("arousal"),
         *[split_tags(c).alias(c) for c in EVIDENCE_TAGS],
     )
-    return pool.select("request_id", "item_id", F.round("score", 4).alias("similarity")).join(facts, "item_id")
+    return pool.select("request_id", "item_id", F.round("score", 4).alias("similarity")).join(facts.hint("merge"), "item_id")
 
 
 def ranking_payload(intents: DataFrame, evidence: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -194,13 +195,13 @@ def ranking_payload(intents: DataFrame, evidence: DataFrame, seeds: DataFrame |
     candidates = evidence.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("o"), F.col("item_id").alias("i"), candidate.alias("c"))))["c"].alias("candidates")
     )
-    document = intents.join(candidates, "request_id")
+    document = intents.join(candidates.hint("merge"), "request_id")
     parts = ["intent"]
     if seeds is not None:
         listed = seeds.groupBy("request_id").agg(
             F.array_sort(F.collect_list(F.struct("position", F.struct("artist", "title").alias("s"))))["s"].alias("seeds")
         )
-        document = document.join(listed, "request_id", "left")
+        document = document.join(listed.hint("merge"), "request_id", "left")
         parts.append("seeds")
     parts.append("candidates")
     return document.select("request_id", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("payload"))

@@ -64,7 +64,7 @@ def clusters_table(membership: DataFrame, labels: DataFrame, coords: DataFrame)
     """``song_id, community, label, x, y``; a community without label gets an empty one."""
     return (
         membership.join(labels, "community", "left")
-        .join(coords, "item_id", "left")
+        .join(coords.hint("merge"), "item_id", "left")
         .select(
             F.col("item_id").alias("song_id"),
             F.col("community").cast("long").alias("community"),

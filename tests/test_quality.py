@@ -109,3 +109,22 @@ def test_tables_that_grow_are_not_broadcast(spark):
     t = roles.Tables(spark, "/root/testdata/sf0.001")
     for rows in (t.tracks(), queries._requests(t)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_with_the_same_seed_are_searched_once(spark, monkeypatch):
+    from vector_atlas.plans import recommend
+
+    asked = []
+
+    def search(queries, *rest, **limits):
+        asked.append(queries.count())
+        return retrieve_top_k(queries, *rest, **limits)
+
+    retrieve_top_k = recommend.retrieve_top_k
+    monkeypatch.setattr(recommend, "retrieve_top_k", search)
+    index = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [0.0, 1.0])], "item_id string, embedding array<double>")
+    rows = [(f"r{i}", "1:a", [1.0, 0.0], "a") for i in range(9)] + [("s", "2:", [0.0, 1.0], None)]
+    embedded = spark.createDataFrame(rows, "request_id string, seed_id string, embedding array<double>, corpus_id string")
+    found = {(r.query_id, r.item_id, r["rank"]) for r in recommend._hits_of_requests(embedded, index, 2).collect()}
+    assert asked == [2]
+    assert found == {(f"r{i}", x, n) for i in range(9) for x, n in (("b", 1), ("c", 2))} | {("s", "c", 1), ("s", "b", 2)}

@@ -313,17 +313,31 @@ def recommend_by_item(seeds: DataFrame, candidates: DataFrame, vectors: DataFram
     resolved = materialise(resolve_seeds(seeds, candidates), "resolved-seeds")
     embedded = materialise(seed_vectors(resolved, vectors, corpus), "seed-vectors")
     _require(resolved, embedded)
-    queries = embedded.select(F.col("request_id").alias("query_id"), "embedding")
-    exclude = embedded.where(F.col("corpus_id").isNotNull()).select(
-        F.col("request_id").alias("query_id"), F.col("corpus_id").alias("item_id")
-    )
-    hits = materialise(retrieve_top_k(queries, corpus.vectors, n, exclude), "hits")
+    hits = materialise(_hits_of_requests(embedded, corpus.vectors, n), "hits")
     if hits.join(corpus.tracks, hits["item_id"] == corpus.tracks["song_id"], "left_semi").isEmpty():
         raise ValueError("no candidates")
     pool = hits.select(F.col("query_id").alias("request_id"), "item_id")
     return Recommended(_single(hits, corpus, n, rank, **ranking), _counts(pool), resolved)
 
 
+def _hits_of_requests(embedded: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """``query_id, item_id, score, rank`` per request; requests with the same seeds are searched once."""
+    mark = F.xxhash64("embedding")
+    requests = materialise(
+        embedded.groupBy("request_id").agg(F.concat_ws("\n", F.sort_array(F.collect_set("seed_id"))).alias("search"), F.min(mark).alias("lo"), F.max(mark).alias("hi")),
+        "requests")
+    odd = requests.where("lo <> hi").select("request_id").first()
+    if odd:
+        raise ValueError(f"query {odd[0]} has several vectors")
+    seeds = embedded.select("seed_id", "embedding", "corpus_id").dropDuplicates(["seed_id"])
+    asked = embedded.select("request_id", "seed_id").join(requests.select("request_id", "search").hint("merge"), "request_id").select("search", "seed_id").distinct()
+    asked = materialise(asked.join(seeds.hint("merge"), "seed_id"), "searches")
+    queries = asked.dropDuplicates(["search"]).select(F.col("search").alias("query_id"), "embedding")
+    exclude = asked.where(F.col("corpus_id").isNotNull()).select(F.col("search").alias("query_id"), F.col("corpus_id").alias("item_id"))
+    near = retrieve_top_k(queries, index, n, exclude).withColumnRenamed("query_id", "search")
+    return requests.select(F.col("request_id").alias("query_id"), "search").join(near.hint("shuffle_hash"), "search").drop("search")
+
+
 def _require(resolved: DataFrame, embedded: DataFrame) -> None:
     if resolved.where("resolved").isEmpty():
         raise ValueError("no seed could be matched")

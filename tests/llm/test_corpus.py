@@ -671,6 +671,22 @@ def test_recall_of_edited_passages(spark):
     assert recall[0.95] >= 0.97 and recall[0.9] >= 0.95 and recall[0.85] >= 0.9 and recall[0.8] >= 0.8, recall
 
 
+def test_members_of_a_large_group_that_resemble_neither_end_are_linked(spark):
+    """Every seed of the passage is held by more than ``few`` documents, whose first and last hold parts of it only."""
+    rng = random.Random(33)
+    passage = prose(rng, 90, 10**6)
+    parts = [passage[a : a + 36] for a in (0, 18, 36, 54)]
+    docs = [prose(rng, 60, 10**6) + parts[i % 4] + prose(rng, 60, 10**6) for i in range(32)]
+    whole = {}
+    for shift in (11, 17, 23):  # different texts: other words of the passage are changed, none has a long seed of another
+        edited = [w if at % 24 != shift else "own%d" % (100 * shift + at) for at, w in enumerate(passage)]
+        whole[len(docs) // 2 + len(whole)] = prose(rng, 30, 10**6) + edited + prose(rng, 40, 10**6)
+    docs = docs[:16] + list(whole.values()) + docs[16:]
+    got = passages.repeated_passages(table(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])).collect()
+    pairs = {(r["doc_id"], r["other_doc_id"]) for r in got if r["equal_words"] >= 75}
+    assert {(17, 16), (18, 16), (18, 17)} <= pairs
+
+
 def test_chains_equal_quadratic_programming():
     import numpy as np
 

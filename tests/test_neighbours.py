@@ -108,3 +108,25 @@ def test_all_against_all_equals_brute_force(spark, monkeypatch):
     scores = [(x[i] * x).sum(axis=1) for i in range(500)]
     want = {(ids[i], ids[j]): scores[i][j] for i in range(500) for j in np.lexsort((np.array(ids), -scores[i]))[:7]}
     assert found == want
+
+
+def test_products_that_wait_are_bounded(monkeypatch):
+    """Every row that comes is nearer than those before, so all its products are among the best met so far."""
+    import numpy as np
+
+    from vector_atlas.operators import neighbours as nb
+
+    monkeypatch.setattr(nb, "PENDING", 4096)
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.standard_normal((600, 8)))
+    best, most = nb.Running(np.array([f"q{i}" for i in range(600)], object), x, np.full(600, 3)), [0]
+    merge = best._merge
+    monkeypatch.setattr(best, "_merge", lambda *a: (most.append(best.waiting), merge(*a)))
+    rows = np.abs(rng.standard_normal((8 * 512, 8))) * (1 + np.arange(8 * 512))[:, None]
+    names = np.array([f"r{i:05d}" for i in range(len(rows))], object)
+    for a in range(0, len(rows), 512):
+        best.add(names[a : a + 512], rows[a : a + 512])
+    got = best.batch().to_pydict()
+    assert max(most) <= 4096 + 65536
+    want = {(f"q{i}", names[j]) for i, row in enumerate(x @ rows.T) for j in np.argsort(-row)[:3]}
+    assert set(zip(got["query_id"], got["item_id"])) == want

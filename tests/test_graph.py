@@ -125,6 +125,30 @@ def test_blocks_and_hubs_do_not_lower_modularity(spark, planted, monkeypatch):
     assert split.select("name").distinct().count() == found.select("community").distinct().count()
 
 
+def test_a_level_ends_when_modularity_hardly_rises(spark, planted, monkeypatch):
+    """Blocks side by side come to rest late; coarser levels make up for what a level leaves."""
+    nodes, edges = planted
+    for name, value in {"BLOCK_NODES": 16, "BLOCK_LINKS": 1500, "RISE": 1.0}.items():
+        monkeypatch.setattr(communities, name, value)
+    trace: list = []
+    found = materialise(communities.detect_communities(nodes.select("item_id"), edges, trace=trace), "found")
+    assert len([t for t in trace if t["level"] == 0]) == communities.CHECK_EVERY
+    assert graph.modularity(edges, found).first()[0] >= 0.65
+
+
+def test_large_tables_of_nodes_are_not_broadcast(spark, planted, monkeypatch):
+    nodes, edges = planted
+    monkeypatch.setattr(communities, "BROADCAST_ROWS", 100)
+    facts = communities.Facts(nodes.count(), 2 * edges.count(), 100)
+    links = materialise(graph.both_ways(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight")), "links")
+    first = nodes.select(F.col("item_id").cast("long").alias("node"), F.col("item_id").cast("long").alias("community"), F.lit(1.0).alias("degree"), F.lit(1).alias("ties"))
+    state = materialise(communities._described(materialise(first, "state"), 0, facts).withColumn("active", F.lit(True)), "nodes")
+    rows = communities._moves(links, state, facts, facts.nodes, 1e-4)
+    for table in (communities._described(state.select("node", "community", "degree", "ties"), 0, facts), rows):
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() > 0
+
+
 def test_a_safety_limit_is_an_error(spark):
     rows = [(f"n{i:02d}", f"n{j:02d}", 1.0) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3]
     edges = spark.createDataFrame(rows, "src string, dst string, weight double")

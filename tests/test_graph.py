@@ -189,3 +189,11 @@ def test_a_layout_that_does_not_settle_is_an_error(spark, planted):
     rows = spark.range(60).selectExpr("cast(id as string) as item_id", "array(sin(id), cos(id), sin(2.0 * id), 0.1 * id) as embedding")
     with pytest.raises(RuntimeError, match="did not settle"):
         layout.layout_2d(rows, LayoutConfig(n_neighbors=5, max_rounds=2))
+
+
+def test_points_are_moved_by_many_tasks(spark):
+    """Coordinates are few bytes, so tasks are counted by points, not by size."""
+    coords = materialise(spark.range(20000).coalesce(1).selectExpr("id as idx", "sin(id * 1.3) * 5 as x", "cos(id * 0.7) * 4 as y"), "coords")
+    links = materialise(spark.range(20000).coalesce(1).selectExpr("id as i", "(id + 1) % 20000 as j", "1.0d as weight"), "links")
+    after, moved, _ = layout._turn(coords, links, 20000, 1.0, 1.5, 0.9, LayoutConfig())
+    assert len(after.inputFiles()) >= 3 and after.count() == 20000 and moved > 0

@@ -130,3 +130,12 @@ def test_products_that_wait_are_bounded(monkeypatch):
     assert max(most) <= 4096 + 65536
     want = {(f"q{i}", names[j]) for i, row in enumerate(x @ rows.T) for j in np.argsort(-row)[:3]}
     assert set(zip(got["query_id"], got["item_id"])) == want
+
+
+def test_what_tiles_give_out_grows_with_the_rows(spark, monkeypatch):
+    """Each run of a tile gives out k rows per query, so their number must not grow with the rows that are searched."""
+    monkeypatch.setattr(neighbours, "RUN_ROWS", 50)
+    rows = spark.range(1000).selectExpr("cast(id as string) as id", "array(sin(id), cos(id), sin(2.0 * id)) as embedding")
+    found, runs = neighbours.met(rows.selectExpr("*", "3L as k"), rows, 1000, 1000, ["k"])
+    assert runs == 4
+    assert found.where("kind = 0").count() == 4 * 1000 and found.where("kind = 1").selectExpr("sum(size(ids)) as n").first()["n"] == 1000

@@ -721,6 +721,59 @@ def test_common_subsequences():
         assert passages._common(np.array(x, dtype=int), np.array(y, dtype=int)) == row[-1][-1]
 
 
+def test_batches_of_chains_are_aligned_as_one_by_one(monkeypatch):
+    """All rows at once, against a loop over words; gaps are compared only where the passage may be good enough."""
+    import numpy as np
+
+    def extend(same):
+        total = best = n = 0
+        for i, good in enumerate(same):
+            total += 1 if good else -2
+            if total > best:
+                best, n = total, i + 1
+            if best - total > 8:
+                break
+        return n, sum(same[:n])
+
+    rng, compared, plain = random.Random(41), [], passages._common
+    monkeypatch.setattr(passages, "_common", lambda x, y: compared.append(1) or plain(x, y))
+    xs, ys, chains, want = [], [], [], {}
+    gaps_of_all = 0
+    for row in range(300):
+        x = [rng.randrange(1, 10**6) for _ in range(rng.randrange(60, 120))]
+        y = [w if rng.random() > (0.05 if row % 3 else 0.6) else rng.randrange(1, 10**6) for w in x]
+        shift = rng.randrange(4)
+        y[50:50] = [7] * shift
+        parts = np.array([(20, 30, 0), (38, 45, 0), (52, 58, -shift)][: rng.randrange(1, 4)])
+        q0, q1, d = parts[0].tolist()
+        more, good = extend([x[q0 - 1 - i] == y[q0 - d - 1 - i] for i in range(min(q0, q0 - d))])
+        from_x, from_y, equal = q0 - more, q0 - d - more, good
+        for a, b, e in parts.tolist():
+            if a != q0:
+                equal, gaps_of_all = equal + plain(np.array(x[q1:a]), np.array(y[q1 - d : a - e])), gaps_of_all + 1
+            equal += sum(x[i] == y[i - e] for i in range(a, b))
+            q1, d = b, e
+        more, good = extend([u == v for u, v in zip(x[q1:], y[q1 - d :])])
+        q1, t1, equal = q1 + more, q1 - d + more, equal + good
+        if min(q1 - from_x, t1 - from_y) >= 50 and equal >= 0.8 * max(q1 - from_x, t1 - from_y):
+            want[row] = [from_x, q1, from_y, t1, equal]
+        for all_rows, one in ((xs, x), (ys, y), (chains, parts)):
+            all_rows.append(one)
+    offs = lambda rows: np.cumsum([0, *map(len, rows)])
+    rows, found = passages.align(np.concatenate(xs), offs(xs), np.concatenate(ys), offs(ys), np.concatenate(chains), offs(chains), 50, 0.8)
+    assert dict(zip(rows.tolist(), found.tolist())) == want and 50 < len(want) < 250
+    assert 0 < len(compared) < 0.9 * gaps_of_all
+
+
+def test_first_minima():
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(0, 40, 500).astype(np.uint64)
+    for window in (1, 2, 8, 21):
+        views = np.lib.stride_tricks.sliding_window_view(x, window)
+        assert (passages._first_minima(x, window) == np.arange(len(views)) + views.argmin(axis=1)).all()
+
+
 def test_passages_on_odd_rows(spark):
     rows = MESSY + [(20, "word " * 3000), (21, " ".join(f"u{i}" for i in range(80))), (21, " ".join(f"u{i}" for i in range(80)))]
     got = passages.repeated_passages(table(spark, rows)).collect()

@@ -687,6 +687,45 @@ def test_members_of_a_large_group_that_resemble_neither_end_are_linked(spark):
     assert {(17, 16), (18, 16), (18, 17)} <= pairs
 
 
+def test_every_open_place_of_a_frequent_seed_is_compared(spark):
+    """A line lies in more places than a block holds; two documents say it alone at first, then within a passage of which
+    every fifth word is changed, so that no other seed leads to it. The first and the last document hold the line only."""
+    rng = random.Random(34)
+    line, before, behind = prose(rng, 12, 10**6), prose(rng, 30, 10**6), prose(rng, 30, 10**6)
+
+    def edited(words, shift, first):
+        return [w if at % 5 != first else "own%d" % (1000 * shift + at) for at, w in enumerate(words)]
+
+    docs = [[w for _ in range(12) for w in prose(rng, rng.randrange(60, 90), 10**6) + line] + prose(rng, 60, 10**6) for _ in range(14)]
+    for i in (5, 8):
+        docs[i] += edited(before, 2 * i, 4) + line + edited(behind, 2 * i + 1, 0) + prose(rng, 10, 10**6)
+    rows = table(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])
+    got = passages.repeated_passages(rows, cfg=passages.PassageConfig(block=8)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in got} == {(8, 5)}
+    assert all(r["start_word"] >= 924 and r["other_start"] >= 924 and r["equal_words"] >= 55 for r in got)
+
+
+def test_places_with_equal_surroundings_stand_for_each_other(spark):
+    """Documents that say a line again and again, in more places than a block holds: each is in a row, and what is
+    compared does not grow with the square of the places."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(35)
+    line = prose(rng, 6, 10**6)
+    docs = [prose(rng, 40, 10**6) + line * 40 + prose(rng, 40, 10**6) for _ in range(12)]
+    cfg = passages.PassageConfig(block=64)
+    rows = table(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])
+    got = passages.repeated_passages(rows, cfg=cfg).collect()
+    assert {r["doc_id"] for r in got} | {r["other_doc_id"] for r in got} == set(range(12))
+    hits = passages._held(passages.seeds(rows, "doc_id", "text", cfg)).where("not long")
+    places = hits.select("id", passages._place()).groupBy("id").agg(F.collect_set("q").alias("at"))
+    seen = passages._surroundings(rows, places, "doc_id", "text", cfg).distinct()
+    met, alike = passages._kinds(seen, cfg)
+    n = seen.count()
+    assert n >= 450 and met.count() < n / 2
+    assert {r["id"] for r in alike.collect()} == set(range(1, 12))
+
+
 def test_chains_equal_quadratic_programming():
     import numpy as np
 

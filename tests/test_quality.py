@@ -128,3 +128,56 @@ def test_requests_with_the_same_seed_are_searched_once(spark, monkeypatch):
     found = {(r.query_id, r.item_id, r["rank"]) for r in recommend._hits_of_requests(embedded, index, 2).collect()}
     assert asked == [2]
     assert found == {(f"r{i}", x, n) for i in range(9) for x, n in (("b", 1), ("c", 2))} | {("s", "c", 1), ("s", "b", 2)}
+
+
+def test_the_plane_is_counted_and_searched_by_cells(monkeypatch):
+    """Circles and nearest points from the grid equal brute force, also with copies, ties and crowded cells; of a wide circle
+    only the points on its rim are looked at."""
+    import numpy as np
+
+    from vector_atlas.operators import ranks
+
+    rng = np.random.default_rng(5)
+    plain = rng.standard_normal((400, 2))
+    far = plain.copy()
+    far[0] = 1e9
+    copies = plain.copy()
+    copies[:200] = copies[0]
+    for places in (plain, np.round(plain, 1), far, plain * [1, 0], copies, np.ones((30, 2)), plain[:9]):
+        n = len(places)
+        field = ranks.Field(places)
+        away = np.sqrt(((places[:, None] - places[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(away, np.inf)
+        pairs = [np.concatenate(c) for c in zip(*(field.nearest(b, 5) for b in range(field.blocks)))]
+        want = {(i, int(j)) for i in range(n) for j in np.lexsort((np.arange(n), away[i]))[:5]}
+        assert len(pairs[0]) == len(want) and set(zip(*(p.tolist() for p in pairs))) == want
+        i, j = rng.integers(0, n, 60), rng.integers(0, n, 60)
+        i, j = i[i != j], j[i != j]
+        before = [(away[a] - away[a, b] < -ranks.TIE) | ((np.abs(away[a] - away[a, b]) <= ranks.TIE) & (np.arange(n) < b)) for a, b in zip(i, j)]
+        assert field.count(i, j) == sum(int(v.sum()) for v in before)
+    field = ranks.Field(rng.standard_normal((40_000, 2)))
+    looked, plain_ranges = [], ranks._ranges
+    monkeypatch.setattr(ranks, "_ranges", lambda a, b: looked.append(int(np.maximum(b - a, 0).sum())) or plain_ranges(a, b))
+    field.count(np.arange(50), np.arange(50, 100))
+    assert sum(looked) < 50 * 40_000 / 10
+
+
+def test_products_in_single_precision_count_as_whole_ones():
+    import numpy as np
+
+    from vector_atlas.operators import ranks
+
+    rng = np.random.default_rng(6)
+    u = rng.standard_normal((300, 40))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    u[10:90], u[5] = u[10], 0
+    u[100:200] = u[100] + 1e-8 * rng.standard_normal((100, 40))  # closer to each other than single precision tells
+    names = np.array([f"n{k:03d}" for k in rng.permutation(300)], dtype=object)
+    js, away = [], []
+    for r in range(300):
+        asked = rng.choice(300, rng.integers(0, 15), replace=False)
+        asked = asked[asked != r]
+        js.append(names[asked])
+        away.append(1.0 - u[asked] @ u[r])
+    own = np.stack((np.arange(300), np.arange(300)), axis=1)
+    assert ranks._Products(u, js, away).count(names, u, own) == ranks._count_apart(ranks.Cosine, u, js, away, names, u, own)

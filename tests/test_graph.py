@@ -197,3 +197,18 @@ def test_points_are_moved_by_many_tasks(spark):
     links = materialise(spark.range(20000).coalesce(1).selectExpr("id as i", "(id + 1) % 20000 as j", "1.0d as weight"), "links")
     after, moved, _ = layout._turn(coords, links, 20000, 1.0, 1.5, 0.9, LayoutConfig())
     assert len(after.inputFiles()) >= 3 and after.count() == 20000 and moved > 0
+
+
+def test_rounds_of_moves_write_no_tables_of_nodes(spark, monkeypatch):
+    """The state of a level travels as arrays; the form with tables finds the same communities in one block."""
+    rows = [(f"n{c}{i}", f"n{c}{j}", 1.0) for c in range(3) for i in range(5) for j in range(i + 1, 5)] + [("n00", "n10", 0.5), ("n11", "n21", 0.5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{c}{i}",) for c in range(3) for i in range(5)], "item_id string")
+    written, plain, found = [], communities.materialise, []
+    monkeypatch.setattr(communities, "materialise", lambda df, name: written.append(name) or plain(df, name))
+    for limit in (communities.STATE_ROWS, 0):
+        monkeypatch.setattr(communities, "STATE_ROWS", limit)
+        written.clear()
+        found.append({tuple(r) for r in communities.detect_communities(nodes, edges).collect()})
+        assert ("community-moves" in written) == (limit == 0)
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == 3
